@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Functions travel to executors by value, so that workers need no copy of this package.
@@ -75,6 +75,20 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = 4 << 20) -> It
         yield batch.slice(at), values
 
 
+def fold(id_col: str, parts: int) -> Column:
+    """crc32 of the id as text, modulo `parts`; a null id counts as the empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts
+
+
+def drawn(rows: DataFrame, label_col: str, id_col: str, each: int) -> DataFrame:
+    """About `each` rows of every label (all of a label that has fewer), chosen by a hash of the id; labels are few."""
+    counts = {r[0]: r[1] for r in rows.where(F.col(label_col).isNotNull()).groupBy(label_col).count().collect()}
+    if not counts:
+        return rows.limit(0)
+    odds = F.create_map(*[F.lit(x) for label, n in counts.items() for x in (label, min(1.0, each / n))])
+    return rows.where((F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < odds[F.col(label_col)] * (1 << 20))).orderBy(F.xxhash64(id_col), id_col).limit(2 * each * len(counts))
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of an undirected edge list (a, b: long, not null) as (node, component), component the least node.
 

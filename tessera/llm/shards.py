@@ -42,6 +42,22 @@ def shard(rows: DataFrame, size_col: str, order: list[str], shards: int = 8, row
     return checked_join(placed, first, "shard", "inner", shards).withColumn("slot", (F.col("_row") - F.col("_first")).cast("long")).drop("_row", "_first")
 
 
+def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs + shard int. Only ids, checksums and sizes are sorted; the texts are then dealt by the shards' first rows.
+
+    Rows that agree in id, checksum and size share a shard.
+    """
+    order = [F.col(id_col), text_crc32(F.col(text_col)), sized(F.col(text_col))]
+    placed = shard(docs.select(order[0].alias("_a"), order[1].alias("_b"), order[2].alias("_c")), "_c", ["_a", "_b", "_c"], shards)
+    cuts = placed.groupBy("shard").agg(F.min(F.struct("_a", "_b", "_c")).alias("_cut")).orderBy("shard").collect()
+    number = F.lit(0)
+    for row in cuts[1:]:
+        a, b, c = row["_cut"]
+        own = F.struct(*order)
+        number = F.when(own >= F.struct(F.lit(a).cast(docs.schema[id_col].dataType), F.lit(b).cast("long"), F.lit(c).cast("long")), F.lit(row["shard"])).otherwise(number)
+    return docs.withColumn("shard", number.cast("int"))
+
+
 def op5_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", sized(F.col("text")).alias("size"), text_crc32(F.col("text")).alias("text_crc32"))
     out = shard(docs, "size", ["doc_id", "text_crc32", "size"])

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checked_join, components, save, slices, small_batches, table
@@ -170,6 +170,101 @@ def near_groups(docs: DataFrame, width: int = 3, distance: int = 3, id_col: str
     return checked_join(fps, named, "fp", "inner").select(id_col, "fp", "component_id")
 
 
+SKETCH = 256
+EMPTY = 0xFFFF
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    """One-permutation minimum of 16 hash bits in each of 256 bins."""
+    out = np.full(SKETCH, EMPTY, "<u2")
+    if len(hashes):
+        code = (hashes & np.uint64(SKETCH - 1)) << np.uint64(16) | np.minimum(hashes >> np.uint64(48), np.uint64(EMPTY - 1))
+        code.sort()
+        bins = code >> np.uint64(16)
+        least = np.concatenate(([True], bins[1:] != bins[:-1]))
+        out[bins[least].astype(np.intp)] = (code[least] & np.uint64(EMPTY)).astype("<u2")
+    return out.tobytes()
+
+
+def similarity(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Estimated Jaccard similarity of sketched sets."""
+    x, y = (np.frombuffer(b"".join(v), "<u2").reshape(-1, SKETCH) for v in (a, b))
+    used = (x != EMPTY) | (y != EMPTY)
+    return ((x == y) & used).sum(axis=1) / np.maximum(1, used.sum(axis=1))
+
+
+def near_links(fps: DataFrame, distance: int, dense: int = 32) -> DataFrame:
+    """(fp, n) -> candidate pairs (a, b) within `distance` bits that share a wide key.
+
+    Buckets of up to `dense` fingerprints are paired fully; in a denser one, where all are close to one text, each is
+    paired with the bucket's most frequent fingerprint, so pairs grow with the bucket and not with its square.
+    """
+    keyed = fps.select("fp", "n").mapInArrow(_keyed_with_count, "key long, fp long, n long")
+    own = Window.partitionBy("key")
+    keyed = keyed.withColumn("size", F.count("*").over(own)).withColumn("hub", F.max(F.struct("n", "fp")).over(own).getField("fp")).where("size > 1")
+    close = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= distance
+    few = keyed.where(F.col("size") <= dense)
+    a, b = few.select("key", F.col("fp").alias("a")), few.select(F.col("key").alias("key_b"), F.col("fp").alias("b"))
+    pairs = a.join(b, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & close(F.col("a"), F.col("b"))).select("a", "b")
+    star = keyed.where((F.col("size") > dense) & (F.col("fp") != F.col("hub")) & close(F.col("fp"), F.col("hub")))
+    return pairs.union(star.select(F.least("fp", "hub"), F.greatest("fp", "hub"))).distinct()
+
+
+def _keyed_with_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fps, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        for at in range(0, len(fps), 4096):
+            part = fps[at : at + 4096]
+            rows, found = keys(part, False)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(part[rows]), pa.array(n[at : at + 4096][rows])], ["key", "fp", "n"])
+
+
+def _verified(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            near = similarity(batch.column(2).to_pylist(), batch.column(3).to_pylist()) >= least
+            yield batch.select([0, 1]).filter(pa.array(near))
+
+    return run
+
+
+def deduplicate(docs: DataFrame, least: float = 0.8, words: int = 5, width: int = 2, distance: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document (the least id) of each group of exact and near copies.
+
+    Near copies have `least` similarity or more on shingles of `words` words. SimHash over pairs of words (`width`) is
+    close for them; candidates come from Golay keys (all within 5 bits, most within `distance`) and are verified on a
+    sketch of the word shingles (256 bins, standard error below 0.03). Groups are components of verified links.
+    Rows that repeat an id stay together; rows with a null id stay.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            for part, texts in slices(batch, text_col):
+                rows = [(xxhash.xxh3_128_digest(t or b""), fingerprint(shingle_hashes(t, width)), sketch(shingle_hashes(t, words))) for t in texts]
+                same, fp, sk = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), pa.array(fp, pa.int64()), pa.array(sk, pa.binary())], ["id", "same", "fp", "sketch"])
+
+    seen = save(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, same binary, fp long, sketch binary"), "dedup_seen")
+    node = save(seen.groupBy("same").agg(F.min("id").alias("node")), "dedup_exact")
+    texts = save(seen.select("id", "same", "fp", "sketch").join(node.withColumnRenamed("node", "id"), ["same", "id"]).dropDuplicates(["id"]).select(F.col("id").alias("node"), "fp", "sketch"), "dedup_texts")
+    hubs = save(texts.groupBy("fp").agg(F.min("node").alias("hub"), F.count("*").alias("n")), "dedup_fps")
+    pairs = save(near_links(hubs, distance), "dedup_pairs")
+    by_fp = hubs.select("fp", F.col("hub").alias("node"))
+    found = pairs.join(by_fp.toDF("a", "x"), "a").join(by_fp.toDF("b", "y"), "b").select("x", "y")
+    found = found.union(texts.join(hubs, "fp").where("node <> hub").select(F.col("hub").alias("x"), F.col("node").alias("y")))
+    side = texts.select("node", "sketch")
+    both = found.join(side.toDF("x", "sx"), "x").join(side.toDF("y", "sy"), "y").select(F.col("x").alias("a"), F.col("y").alias("b"), "sx", "sy")
+    linked = both.mapInArrow(_verified(least), "a long, b long")
+    group = save(components(linked, "dedup_links"), "dedup_groups")
+    kept = node.join(group, "node", "left").select("same", F.coalesce("component", "node").alias("keep"))
+    drop = save(seen.select("id", "same").join(kept, "same").where("id <> keep").select(F.col("id").alias(id_col)).distinct(), "dedup_drop")
+    return checked_join(docs, drop, id_col, "left_anti")
+
+
 def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
