@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Functions travel to executors by value, so that workers need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
-
 #: Rows of a key table that may be broadcast (tens of MB at most); beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
