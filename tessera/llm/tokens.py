@@ -30,10 +30,10 @@ from .common import checked_join, shared_path, slices, small_batches, table
 
 END = 2
 SPECIAL = "<|endoftext|>"
-CHUNK = r"[ \t-\r]*[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[,.!?;:])|[ \t-\r]*[^ \t-\r]+|[ \t-\r]+"
+CHUNK = r"[ \t-\r]*+[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[,.!?;:])|[ \t-\r]*+[^ \t-\r]++|[ \t-\r]++"
 WIDE_SPACE = "[\x1c-\x1f\x85   -     　]"
-#: Chunks kept by a worker between tasks (about 60 MB).
-CACHED = 300_000
+#: Chunks in each of a worker's two generations of kept ids (about 70 MB each).
+KEPT = 350_000
 LAYOUT = {"compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.block.size": str(32 << 20), "parquet.page.size": str(1 << 20), "parquet.page.row.count.limit": "2000"}
 
 
@@ -48,7 +48,8 @@ class Encoder:
         self.whole.encode_special_tokens = True
         self.mark = self.plain.token_to_id(SPECIAL)
         self.chunk, self.wide = re.compile(CHUNK), re.compile(WIDE_SPACE)
-        self.kept: dict[str, bytes] = {}
+        self.kept: dict[str, bytes] = {}  # used lately; what is not used while this one fills goes with the older one
+        self.older: dict[str, bytes] = {}
 
     def _learn(self, chunks: list[str], into: dict[str, bytes], group: int = 256) -> None:
         odd = [c for c in chunks if "<|" in c]
@@ -66,13 +67,22 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         plain = [not self.wide.search(t) for t in texts]
         split = [self.chunk.findall(t) if ok else [] for t, ok in zip(texts, plain, strict=True)]
-        kept = self.kept
-        new = list({c for chunks in split for c in chunks if c not in kept})
-        known = kept
-        if len(kept) + len(new) > CACHED:
-            known = {c: kept[c] for chunks in split for c in chunks if c in kept}
-        self._learn(new, known)
-        get = known.__getitem__
+        if len(self.kept) > KEPT:
+            self.kept, self.older = {}, self.kept
+        kept, older = self.kept, self.older
+        seen: set[str] = set()
+        for chunks in split:
+            seen.update(chunks)
+        new = []
+        for c in seen:
+            if c not in kept:
+                ids = older.get(c)
+                if ids is None:
+                    new.append(c)
+                else:
+                    kept[c] = ids
+        self._learn(new, kept)
+        get = kept.__getitem__
         return [b"".join(map(get, chunks)) if ok else np.array(self.whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, ok, chunks in zip(texts, plain, split, strict=True)]
 
 
@@ -106,7 +116,7 @@ def encoded(docs: DataFrame, path: str, end: int = END, id_col: str = "doc_id",
 def write_tokens(docs: DataFrame, out: str, path: str, id_col: str = "doc_id", text_col: str = "text", rows_a_file: int = 8_000, **layout: str) -> None:
     """Write the token files to `out`, in ascending id order."""
     files = max(4, min(20_000, -(-docs.count() // rows_a_file)))
-    ranged = docs.select(id_col, text_col).repartitionByRange(files, id_col, text_col).sortWithinPartitions(id_col, text_col)
+    ranged = docs.select(id_col, text_col).repartitionByRange(files, id_col).sortWithinPartitions(id_col, text_col)
     encoded(ranged, path, id_col=id_col, text_col=text_col).write.options(**(LAYOUT | layout)).parquet(out)
 
 
