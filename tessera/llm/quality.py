@@ -33,9 +33,12 @@ LEAST_SCORE = 0.3
 
 
 def laid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Texts padded with zero bytes to whole halves, and the first half of each (with the end)."""
-    halves = [(len(t) + 4) // PAIR + 1 for t in texts]
-    data = b"".join(t.ljust(n * PAIR, b"\0") for t, n in zip(texts, halves, strict=True))
+    """Texts padded with zero bytes to whole halves, and the first half of each (with the end).
+
+    A step of zeros stands before and behind each text, so that no window sees its neighbour.
+    """
+    halves = [(len(t) + 2 * STEP - 1) // PAIR + 1 for t in texts]
+    data = b"".join((b"\0" * STEP + t).ljust(n * PAIR, b"\0") for t, n in zip(texts, halves, strict=True))
     return np.frombuffer(data + b"\0" * STEP, np.uint8), np.cumsum([0, *halves])
 
 
