@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checked_join, components, save, slices, small_batches, table
@@ -193,30 +193,43 @@ def similarity(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return ((x == y) & used).sum(axis=1) / np.maximum(1, used.sum(axis=1))
 
 
-def near_links(fps: DataFrame, distance: int, dense: int = 32) -> DataFrame:
-    """(fp, n) -> candidate pairs (a, b) within `distance` bits that share a wide key.
-
-    Buckets of up to `dense` fingerprints are paired fully; in a denser one, where all are close to one text, each is
-    paired with the bucket's most frequent fingerprint, so pairs grow with the bucket and not with its square.
-    """
-    keyed = fps.select("fp", "n").mapInArrow(_keyed_with_count, "key long, fp long, n long")
-    own = Window.partitionBy("key")
-    keyed = keyed.withColumn("size", F.count("*").over(own)).withColumn("hub", F.max(F.struct("n", "fp")).over(own).getField("fp")).where("size > 1")
-    close = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= distance
-    few = keyed.where(F.col("size") <= dense)
-    a, b = few.select("key", F.col("fp").alias("a")), few.select(F.col("key").alias("key_b"), F.col("fp").alias("b"))
-    pairs = a.join(b, (F.col("key") == F.col("key_b")) & (F.col("a") < F.col("b")) & close(F.col("a"), F.col("b"))).select("a", "b")
-    star = keyed.where((F.col("size") > dense) & (F.col("fp") != F.col("hub")) & close(F.col("fp"), F.col("hub")))
-    return pairs.union(star.select(F.least("fp", "hub"), F.greatest("fp", "hub"))).distinct()
-
-
-def _keyed_with_count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keyed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fps, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        node, fps, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
         for at in range(0, len(fps), 4096):
-            part = fps[at : at + 4096]
-            rows, found = keys(part, False)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(part[rows]), pa.array(n[at : at + 4096][rows])], ["key", "fp", "n"])
+            part = slice(at, at + 4096)
+            rows, found = keys(fps[part], False)
+            yield pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(x[part][rows]) for x in (node, fps, n))], ["key", "node", "fp", "n"])
+
+
+def near_links(texts: DataFrame, distance: int, least: float, dense: int = 32) -> DataFrame:
+    """(node, fp, n, sketch), one row a distinct text -> links (a, b) of at least `least` similarity within `distance` bits.
+
+    The links join all that the pairs within wide-key buckets would join. Buckets of up to `dense` texts are paired fully.
+    In a denser one every text meets the bucket's most repeated text; those it links to hang together already, and each of
+    the rest meets the whole bucket. Bucket sizes are counted before the join, so a hot bucket is split like any hot key.
+    """
+    keyed = texts.select("node", "fp", "n").mapInArrow(_keyed_texts, "key long, node long, fp long, n long")
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("n", "node", "fp")).alias("hub")).where("size > 1")
+    buckets = save(buckets.select("key", "size", F.col("hub.node").alias("hub"), F.col("hub.fp").alias("hub_fp")), "dedup_buckets")
+    keyed = save(checked_join(keyed.drop("n"), buckets, "key", "inner"), "dedup_keyed")
+    close = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= distance
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    few, hot = keyed.where(F.col("size") <= dense), keyed.where((F.col("size") > dense))
+    other = lambda rows: rows.select(F.col("key").alias("key_b"), F.col("node").alias("node_b"), F.col("fp").alias("fp_b"))
+    pairs = few.select("key", "node", "fp").join(other(few), (F.col("key") == F.col("key_b")) & (F.col("node") < F.col("node_b")) & close("fp", "fp_b")).select(*pair("node", "node_b"))
+    star = hot.where((F.col("node") != F.col("hub")) & close("fp", "hub_fp")).select(*pair("node", "hub"))
+    linked = save(verified(pairs.union(star).distinct(), texts, least), "dedup_linked")
+    rest = hot.where("node <> hub").select("key", "node", "fp", *pair("node", "hub")).join(linked, ["a", "b"], "left_anti").select("key", "node", "fp")
+    more = rest.join(other(hot), (F.col("key") == F.col("key_b")) & (F.col("node") != F.col("node_b")) & close("fp", "fp_b")).select(*pair("node", "node_b"))
+    return linked.union(verified(more.distinct(), texts, least))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sketches agree to at least `least`."""
+    side = texts.select("node", "sketch")
+    both = pairs.join(side.toDF("a", "sa"), "a").join(side.toDF("b", "sb"), "b")
+    return both.select("a", "b", "sa", "sb").mapInArrow(_verified(least), "a long, b long")
 
 
 def _verified(least: float):
@@ -228,12 +241,13 @@ def _verified(least: float):
     return run
 
 
-def deduplicate(docs: DataFrame, least: float = 0.8, words: int = 5, width: int = 2, distance: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, least: float = 0.8, words: int = 5, width: int = 2, distance: int = 8, dense: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document (the least id) of each group of exact and near copies.
 
     Near copies have `least` similarity or more on shingles of `words` words. SimHash over pairs of words (`width`) is
     close for them; candidates come from Golay keys (all within 5 bits, most within `distance`) and are verified on a
-    sketch of the word shingles (256 bins, standard error below 0.03). Groups are components of verified links.
+    sketch of the word shingles (256 bins, standard error below 0.03). Groups are components of verified links; `dense`
+    is the size from which a bucket is joined by way of one text first, and does not change them.
     Rows that repeat an id stay together; rows with a null id stay.
     """
     spark = docs.sparkSession
@@ -249,16 +263,10 @@ def deduplicate(docs: DataFrame, least: float = 0.8, words: int = 5, width: int
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), pa.array(fp, pa.int64()), pa.array(sk, pa.binary())], ["id", "same", "fp", "sketch"])
 
     seen = save(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, same binary, fp long, sketch binary"), "dedup_seen")
-    node = save(seen.groupBy("same").agg(F.min("id").alias("node")), "dedup_exact")
-    texts = save(seen.select("id", "same", "fp", "sketch").join(node.withColumnRenamed("node", "id"), ["same", "id"]).dropDuplicates(["id"]).select(F.col("id").alias("node"), "fp", "sketch"), "dedup_texts")
-    hubs = save(texts.groupBy("fp").agg(F.min("node").alias("hub"), F.count("*").alias("n")), "dedup_fps")
-    pairs = save(near_links(hubs, distance), "dedup_pairs")
-    by_fp = hubs.select("fp", F.col("hub").alias("node"))
-    found = pairs.join(by_fp.toDF("a", "x"), "a").join(by_fp.toDF("b", "y"), "b").select("x", "y")
-    found = found.union(texts.join(hubs, "fp").where("node <> hub").select(F.col("hub").alias("x"), F.col("node").alias("y")))
-    side = texts.select("node", "sketch")
-    both = found.join(side.toDF("x", "sx"), "x").join(side.toDF("y", "sy"), "y").select(F.col("x").alias("a"), F.col("y").alias("b"), "sx", "sy")
-    linked = both.mapInArrow(_verified(least), "a long, b long")
+    node = save(seen.groupBy("same").agg(F.min("id").alias("node"), F.count("*").alias("n")), "dedup_exact")
+    texts = seen.join(node.withColumnRenamed("node", "id"), ["same", "id"]).dropDuplicates(["id"])
+    texts = save(texts.select(F.col("id").alias("node"), "fp", "n", "sketch"), "dedup_texts")
+    linked = near_links(texts, distance, least, dense)
     group = save(components(linked, "dedup_links"), "dedup_groups")
     kept = node.join(group, "node", "left").select("same", F.coalesce("component", "node").alias("keep"))
     drop = save(seen.select("id", "same").join(kept, "same").where("id <> keep").select(F.col("id").alias(id_col)).distinct(), "dedup_drop")
