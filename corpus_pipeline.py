@@ -14,7 +14,7 @@ from tessera.llm.common import save, table
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that the classifier rejects; it learns from the labelled ones among docs."""
     net = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.scores(docs, net).where(f"score >= {quality.LEAST_SCORE}").select(*docs.columns)
+    return quality.kept(docs, net)
 
 
 def near_deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

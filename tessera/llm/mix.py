@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from .common import checked_join, save, table
 
 WORD = r"[^\x20\x09-\x0D]+"
-INNER = ("_key", "_draw", "_size")
 
 
 def words(text: Column) -> Column:
@@ -104,9 +103,9 @@ def copies() -> Column:
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 7, **options) -> DataFrame:
     """The mixed corpus: docs with every row repeated as often as the mix takes it."""
     _, done = plan(docs, id_col=id_col, source_col=source_col, text_col=text_col, seed=seed, **options)
-    inner = docs.withColumn("_key", source_key(source_col)).withColumn("_draw", draw(id_col, source_col, text_col, seed))
+    inner = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), source_key(source_col).alias("_key"), draw(id_col, source_col, text_col, seed).alias("_draw"))
     taken = checked_join(inner, done, "_key", "left").withColumn("_rank", rank()).withColumn("_copies", copies()).where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[taken[c] for c in docs.columns])
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -148,7 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def scores(docs: DataFrame, net: Net, text_col: str = "text") -> DataFrame:
-    """docs + score double, of every whole text."""
+    """docs + score double, of every whole text; a column `score` of docs gives way."""
+    docs = docs.drop("score")
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,6 +162,13 @@ def scores(docs: DataFrame, net: Net, text_col: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def kept(docs: DataFrame, net: Net, least: float = LEAST_SCORE, text_col: str = "text") -> DataFrame:
+    """docs that score `least` or more, with their own columns."""
+    inner = docs.select(F.col(text_col).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("_doc")) if "score" in docs.columns else docs
+    out = scores(inner, net, "text" if "score" in docs.columns else text_col).where(F.col("score") >= least)
+    return out.select("_doc.*") if "score" in docs.columns else out.select(*docs.columns)
+
+
 def op9_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     net = fit(docs, table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))

@@ -45,7 +45,7 @@ def shard(rows: DataFrame, size_col: str, order: list[str], shards: int = 8, row
 def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs + shard int. Only ids, checksums and sizes are sorted; the texts are then dealt by the shards' first rows.
 
-    Rows that agree in id, checksum and size share a shard.
+    Rows that agree in id, checksum and size share a shard. A column `shard` of docs gives way.
     """
     order = [F.col(id_col), text_crc32(F.col(text_col)), sized(F.col(text_col))]
     placed = shard(docs.select(order[0].alias("_a"), order[1].alias("_b"), order[2].alias("_c")), "_c", ["_a", "_b", "_c"], shards)

@@ -88,9 +88,10 @@ def verdicts(rows: DataFrame, prior: float = 0.1, strength: float = 2.0, reject_
 
 
 def judge(pages: DataFrame, url_col: str = "url", rules=RULES, **options) -> DataFrame:
-    """pages + host, path, rule, template, purity, verdict."""
+    """pages + host, path, rule, template, purity, verdict; columns of these names in pages give way."""
     host, path = parsed(F.col(url_col))
-    rows = pages.withColumn("host", host).withColumn("path", path).withColumn("_rule", ruled(F.col("host"), F.col("path"), rules))
+    own = [pages[c] for c in pages.columns if c not in ("host", "path", "rule", "template", "purity", "verdict")]
+    rows = pages.select(F.struct(*own).alias("_page"), host.alias("host"), path.alias("path")).withColumn("_rule", ruled(F.col("host"), F.col("path"), rules))
     segs = F.filter(F.split("path", "/"), lambda s: s != "")
     rows = rows.withColumn("label", F.when(F.col("_rule.verdict") == "block", 1).when(F.col("_rule.verdict") == "allow", 0))
     rows = save(rows.withColumn("segs", segs), "urls")
@@ -99,8 +100,8 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, **options) -> Dat
     found = save(verdicts(rows, **{k: v for k, v in options.items() if k not in ("least_rows", "share")}), "urls_verdicts")
     rows = checked_join(rows, found, keys, "left")
     template = reduce(F.concat, [F.col(f"t{k}") for k in range(1, LEVELS + 1)]) if LEVELS > 1 else F.col("t1")
-    own = F.when(F.col("reject"), F.lit("block")).otherwise(F.lit("allow"))
-    return rows.withColumn("rule", F.col("_rule.rule")).withColumn("template", F.concat(template, F.col("deep"))).withColumn("verdict", F.coalesce(F.col("_rule.verdict"), own))
+    learned = F.when(F.col("reject"), F.lit("block")).otherwise(F.lit("allow"))
+    return rows.select("_page.*", "host", "path", F.col("_rule.rule").alias("rule"), F.concat(template, F.col("deep")).alias("template"), "purity", F.coalesce(F.col("_rule.verdict"), learned).alias("verdict"))
 
 
 def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

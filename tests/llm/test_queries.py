@@ -126,6 +126,34 @@ def test_deduplicate(spark):
     assert out.where("doc_id is null").count() == 1
 
 
+def test_deduplicate_dense_buckets(spark):
+    """A bucket's way of being joined changes nothing: chains of edits, where ends are far from the hub, stay one group."""
+    r = np.random.default_rng(4)
+    rows = []
+    for c in range(3):
+        t = [f"w{k}" for k in r.integers(0, 5000, 300)]
+        for step in range(40):
+            rows.append((100 * c + step, " ".join(t)))
+            for at in r.integers(0, 300, 3):
+                t[at] = f"x{c}-{step}-{at}"
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    full = sorted(x[0] for x in simhash.deduplicate(docs, dense=10**9).select("doc_id").collect())
+    assert full == sorted(x[0] for x in simhash.deduplicate(docs, dense=1).select("doc_id").collect())
+    assert len(full) < 30
+
+
+def test_clashing_names(spark):
+    odd_docs = spark.createDataFrame([(k, f"some words {k} here", "en", "a", 1, 2, 3, 4, 0.5, "s") for k in range(8)], "doc_id long, text string, lang string, source string, _key long, target long, source_size long, _copy long, score double, shard string")
+    out = mix.mix(odd_docs)
+    assert out.columns == odd_docs.columns and {tuple(x)[4:] for x in out.collect()} == {(1, 2, 3, 4, 0.5, "s")}
+    kept = quality.kept(odd_docs, quality.train([(b"a", 1)]))
+    assert kept.columns == odd_docs.columns and kept.count() == 8 and {x["score"] for x in kept.collect()} == {0.5}
+    assert shards.shard_documents(odd_docs).columns == odd_docs.columns
+    assert simhash.deduplicate(odd_docs).columns == tiling.decontaminate(odd_docs, spark.createDataFrame([(1, "none")], "item_id long, text string")).columns == odd_docs.columns
+    pages = spark.createDataFrame([(1, "http://a.com/x", "h", 1.0, True)], "page_id long, url string, host string, purity double, reject boolean")
+    assert urls.judge(pages).select("host", "purity", "reject").first()[0] == "a.com"
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(1, 40)] + [(100, 101), (101, 102), (5, 5)]
     got = dict(map(tuple, components(spark.createDataFrame(chain, "a long, b long")).collect()))
