@@ -207,15 +207,17 @@ def near_links(texts: DataFrame, distance: int, least: float, dense: int = 32) -
 
     The links join all that the pairs within wide-key buckets would join. Buckets of up to `dense` texts are paired fully.
     In a denser one every text meets the bucket's most repeated text; those it links to hang together already, and each of
-    the rest meets the whole bucket. Bucket sizes are counted before the join, so a hot bucket is split like any hot key.
+    the rest meets the whole bucket. Buckets are counted with partial sums first, so a hot one is split like any hot key.
     """
     keyed = texts.select("node", "fp", "n").mapInArrow(_keyed_texts, "key long, node long, fp long, n long")
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("size"), F.max(F.struct("n", "node", "fp")).alias("hub")).where("size > 1")
-    buckets = save(buckets.select("key", "size", F.col("hub.node").alias("hub"), F.col("hub.fp").alias("hub_fp")), "dedup_buckets")
-    keyed = save(checked_join(keyed.drop("n"), buckets, "key", "inner"), "dedup_keyed")
+    full = save(keyed.groupBy("key").count().where(F.col("count") > dense).select("key"), "dedup_dense")
+    number = full.count()
+    few = checked_join(keyed, full, "key", "left_anti", number)
+    hot = save(checked_join(keyed, full, "key", "inner", number), "dedup_hot")
+    hubs = hot.groupBy("key").agg(F.max(F.struct("n", "node", "fp")).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.fp").alias("hub_fp"))
+    hot = save(checked_join(hot.select("key", "node", "fp"), hubs, "key", "inner", number), "dedup_hubs")
     close = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= distance
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    few, hot = keyed.where(F.col("size") <= dense), keyed.where((F.col("size") > dense))
     other = lambda rows: rows.select(F.col("key").alias("key_b"), F.col("node").alias("node_b"), F.col("fp").alias("fp_b"))
     pairs = few.select("key", "node", "fp").join(other(few), (F.col("key") == F.col("key_b")) & (F.col("node") < F.col("node_b")) & close("fp", "fp_b")).select(*pair("node", "node_b"))
     star = hot.where((F.col("node") != F.col("hub")) & close("fp", "hub_fp")).select(*pair("node", "hub"))
