@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .fixtures import lines, oracle, roads, table, view
 from .functions import scalars as S
 from .functions import strings as T
-from .operators import features, kernels, levels, raster, tiles
+from .operators import features, kernels, labels, levels, raster, tiles
 from .operators import roads as R
 from .plans.rules import Rule, Ruleset, apply_ruleset, rule_stats, template
 from .sources import mp
@@ -409,6 +409,57 @@ def dem_tiles(spark: SparkSession, sf: str) -> DataFrame:
     return raster.dem_tiles(view(spark, sf, "v_raster"), 2)
 
 
+W = ("0.5 * (-{t} + 2 * {t} * {t} - {t} * {t} * {t})", "0.5 * (2 - 5 * {t} * {t} + 3 * {t} * {t} * {t})", "0.5 * ({t} + 4 * {t} * {t} - 3 * {t} * {t} * {t})", "0.5 * ({t} * {t} * {t} - {t} * {t})")
+WEIGHT = "case {k} " + " ".join(f"when {k} then {w}" for k, w in enumerate(W)) + " end"
+
+
+@query(f"""with p as (select id, (lon + 1) / 1.0::double cf, (46 - lat) / 1.0::double rf from v_points), q as (select *, cast(floor(cf) as int) c1, cast(floor(rf) as int) r1 from p),
+  s as (select q.id, sum(h * ({WEIGHT.format(k='v.c - c1 + 1', t='(cf - c1)')}) * ({WEIGHT.format(k='v.r - r1 + 1', t='(rf - r1)')})) h, count(h) n
+    from q join v_raster v on v.c between c1 - 1 and c1 + 2 and v.r between r1 - 1 and r1 + 2 group by 1)
+  select q.id, case when n = 16 then round(h, 6) end as h from q left join s using (id)""", "v_points", "v_raster")
+def dem_bicubic(spark: SparkSession, sf: str) -> DataFrame:
+    out = raster.bicubic(view(spark, sf, "v_points"), view(spark, sf, "v_raster"), -1.0, 46.0, 1.0, 5, 5)
+    return out.select("id", F.round("h", 6).alias("h"))
+
+
+# --- encodings ---------------------------------------------------------------------------------------------------------
+
+@query("""with f as (select p_brand, p_type, min(p_partkey) f, (length(p_type) + 2) // 2 * 2 n from part where p_type <> '' group by 1, 2),
+  o as (select p_brand, p_type, (2 + coalesce(sum(n) over (partition by p_brand order by f rows between unbounded preceding and 1 preceding), 0)) // 2 k from f)
+  select p_partkey as id, cast(coalesce(k, 0) as bigint) as label_offset from part left join o using (p_brand, p_type)""")
+def label_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    """Labels of each tile (here: brand) stored once, at even bytes."""
+    part = table(spark, sf, "part").select("p_partkey", "p_brand", "p_type")
+    return labels.interned(part, "p_type", ["p_brand"], ["p_partkey"]).select(F.col("p_partkey").alias("id"), "label_offset")
+
+
+@query("""select p_partkey as id, hex(p_name) || '00' as utf8, (length(regexp_replace(upper(p_name), '[^ A-Z0-9]', '', 'g')) + 2 * length(regexp_replace(p_name, '[^@!"#$%&''()*+,./-]', '', 'g'))) * 6 // 8 + 1 as six_bit_bytes from part""")
+def label_encodings(spark: SparkSession, sf: str) -> DataFrame:
+    name = F.col("p_name")
+    return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.hex(labels.encoded(name, 10)).alias("utf8"), F.length(labels.encoded(name, 6)).alias("six_bit_bytes"))
+
+
+@query("""with u as (select o_orderkey as id, cast(o_orderkey * 7 % 40000 as int) n, o_custkey % 2 = 0 c from orders)
+  select id, case when n < case when c then 768 else 1024 end then (case when c then 32 else 0 end) | ((n >> 5) & 24) else 56 end as flag,
+    case when n < case when c then 768 else 1024 end then cast(n & 255 as varchar) when n >= 16384 then (192 | (n & 63)) || ',' || ((n >> 6) & 255) || ',' || (n >> 14)
+      when c then (n & 127) || ',' || (n >> 7) else (128 | (n & 63)) || ',' || (n >> 6) end as bytes,
+    cast(case when n = 0 then 0 else length(bin(n)) end as int) as bits, case when n % 20 < 10 then n % 20 + 2 else 2 * (n % 20) - 7 end as base, (n + 32) >> 6 << 6 as snapped from u""")
+def arc_encodings(spark: SparkSession, sf: str) -> DataFrame:
+    u = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 7 % 40000).cast("int").alias("n"), (F.col("o_custkey") % 2 == 0).alias("c"))
+    flag, data = S.arc_length_code(F.col("n"), F.col("c"))
+    return u.select("id", flag.alias("flag"), F.array_join(data.cast("array<string>"), ",").alias("bytes"), S.bits_needed(F.col("n")).alias("bits"), S.base_bits(F.col("n") % 20).alias("base"), S.round_pof2(F.col("n"), 6).alias("snapped"))
+
+
+@query("""with a as (select p_partkey as id, cast(p_partkey * 7 as int) x0, cast(p_partkey * 7 + p_size * 9 as int) x2, cast(p_size * 5 as int) y0, cast(p_size * 5 + p_partkey % 300 as int) y1 from part),
+  b as (select *, (x0 + (x2 - x0) // 2 + 8) >> 4 << 4 x1 from a),
+  c as (select id, x0 minx, y0 miny, x1 maxx, y1 maxy from b where x0 < x1 and y0 < y1 union all select id, x1, y0, x2, y1 from b where x1 < x2 and y0 < y1)
+  select id, cast(minx as int) as minx, miny, cast(maxx as int) as maxx, maxy from c where id in (select id from c group by 1 having count(*) = 2)""")
+def area_split(spark: SparkSession, sf: str) -> DataFrame:
+    k, s = F.col("p_partkey"), F.col("p_size")
+    cells = S.split_area((k * 7).cast("int"), (s * 5).cast("int"), (k * 7 + s * 9).cast("int"), (s * 5 + k % 300).cast("int"), 2, 1, 4)
+    return table(spark, sf, "part").select(k.alias("id"), F.explode(cells).alias("cell")).select("id", "cell.*")
+
+
 # --- kernels -----------------------------------------------------------------------------------------------------------
 
 @query("""with b as (select id, min(lon) x0, min(lat) y0, max(lon) x1, max(lat) y1 from v_rings group by 1)

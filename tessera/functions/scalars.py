@@ -158,3 +158,43 @@ def hex_type(text: Column) -> Column:
     """Type code of hexadecimal or decimal text; 0 if neither."""
     low = F.lower(F.trim(text))
     return F.when(low.rlike(r"^0x[0-9a-f]{1,8}$"), F.conv(F.substr(low, F.lit(3)), 16, 10).cast("long")).when(low.rlike(r"^\d{1,9}$"), low.try_cast("long")).otherwise(0)
+
+
+def bits_needed(value: Column) -> Column:
+    """Binary digits of the magnitude."""
+    return F.when(value == 0, 0).otherwise(F.length(F.bin(F.abs(value))))
+
+
+def base_bits(base: Column) -> Column:
+    """Bits that a base code stands for: single steps from 2, double steps from base 10."""
+    return F.when(base < 10, base + 2).otherwise(2 * base - 7)
+
+
+def round_pof2(value: Column, shift: int) -> Column:
+    """To a multiple of 2^shift, halves up."""
+    return F.shiftleft(F.shiftright(F.shiftright(value, shift - 1) + 1, 1), shift) if shift > 0 else value
+
+
+def split_area(minx: Column, miny: Column, maxx: Column, maxy: Column, nx: int, ny: int, shift: int) -> Column:
+    """Cells of a box of map units, x-major, inner borders on multiples of 2^shift; empty cells go, one cell left of several is null."""
+
+    def borders(low: Column, high: Column, n: int) -> list[Column]:
+        out = [low]
+        for left in range(n, 1, -1):
+            out.append(round_pof2((out[-1] + ((high - out[-1]) / left).cast("int")).cast("int"), shift))
+        return [*out, high]
+
+    xs, ys = borders(minx, maxx, nx), borders(miny, maxy, ny)
+    cells = F.array(*[F.struct(a.alias("minx"), c.alias("miny"), b.alias("maxx"), d.alias("maxy")) for a, b in zip(xs[:-1], xs[1:], strict=True) for c, d in zip(ys[:-1], ys[1:], strict=True)])
+    kept = F.filter(cells, lambda c: (c["minx"] < c["maxx"]) & (c["miny"] < c["maxy"]))
+    return F.when((F.size(kept) == nx * ny) | (F.size(kept) > 1), kept)
+
+
+def arc_length_code(units: Column, curve: Column) -> tuple[Column, Column]:
+    """(flag bits, bytes) of an arc length: 10 bits while they last, else 14 (15 with a curve) or 22 bits behind a full flag."""
+    byte = lambda at, mask=0xFF: F.shiftright(units, at).bitwiseAND(F.lit(mask))
+    short = units < F.when(curve, 0x300).otherwise(0x400)
+    flag = F.when(short, F.when(curve, 0x20).otherwise(0).bitwiseOR(byte(5, 0x18))).otherwise(0x38)
+    long_ = F.array(byte(0, 0x3F).bitwiseOR(F.lit(0xC0)), byte(6), byte(14))
+    middle = F.when(curve, F.array(byte(0, 0x7F), byte(7))).otherwise(F.array(byte(0, 0x3F).bitwiseOR(F.lit(0x80)), byte(6)))
+    return flag, F.when(short, F.array(byte(0))).when(units >= 1 << 14, long_).otherwise(middle)

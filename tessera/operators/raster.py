@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,17 @@ def cubic(a: Column, b: Column, c: Column, d: Column, t: Column) -> Column:
 def dem_tiles(raster: DataFrame, size: int = 64) -> DataFrame:
     """Least, greatest and void count of every size x size tile."""
     return raster.groupBy(F.floor(F.col("r") / size).cast("int").alias("tile_r"), F.floor(F.col("c") / size).cast("int").alias("tile_c")).agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count_if(F.col("h").isNull()).alias("voids"))
+
+
+def bicubic(points: DataFrame, raster: DataFrame, west: float, north: float, cell: float, width: int, height: int, x: str = "lon", y: str = "lat") -> DataFrame:
+    """Points + h from the 4 x 4 cells around; null where one of them is outside or void. Range frames find neighbours by (r, c)."""
+    near = raster.select("r", "c", F.col("h").alias("n1"))
+    along, down = Window.partitionBy("r").orderBy("c"), Window.partitionBy("c").orderBy("r")
+    near = near.select("r", "c", *[F.max("n1").over(along.rangeBetween(k - 1, k - 1)).alias(f"n{k}") for k in range(4)])
+    near = near.select("r", "c", *[F.max(f"n{k}").over(down.rangeBetween(j - 1, j - 1)).alias(f"n{j}{k}") for j in range(4) for k in range(4)])
+    p = points.withColumn("_cf", (F.col(x) - west) / cell).withColumn("_rf", (F.lit(north) - F.col(y)) / cell)
+    p = p.withColumn("_c", F.floor("_cf").cast("int")).withColumn("_r", F.floor("_rf").cast("int"))
+    j = p.join(near, (F.col("_r") == F.col("r")) & (F.col("_c") == F.col("c")), "left")
+    lines = [cubic(*[F.col(f"n{i}{k}") for k in range(4)], F.col("_cf") - F.col("_c")) for i in range(4)]
+    inside = F.col("_c").between(1, width - 3) & F.col("_r").between(1, height - 3)
+    return j.withColumn("h", F.when(inside, cubic(*lines, F.col("_rf") - F.col("_r")))).select(*points.columns, "h")
