@@ -330,6 +330,13 @@ def node_classes(spark: SparkSession, sf: str) -> DataFrame:
     return both.select(F.col("src.lat_u").alias("lat"), F.col("src.lon_u").alias("lon"), "node_class", "node_group")
 
 
+@query()
+def route_centers(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of one map in centres that keep the format's limits."""
+    a = R.arcs(roads(spark, sf), [], "road_id").withColumn("road_class", F.col("road_id") % 7)
+    return R.route_centers(R.node_group(a, [], "road_id"), a, [], "road_id")
+
+
 @query("""with recursive n as (select o_orderkey as id, o_custkey as n from orders),
 c as (select id, n, 0 k, 0 s, case when n <= 250 then n when n < 500 then n // 2 + 1 else 250 end e from n
   union all select id, n, k + 1, e - 1, case when n - (e - 1) <= 250 then n when n - (e - 1) < 500 then e - 1 + (n - (e - 1)) // 2 + 1 else e - 1 + 250 end from c where e < n)
@@ -392,6 +399,15 @@ def grid_and_size(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(k.alias("id"), levels.grid_cell(k * 7919 % 4000, k * 104729 % 3000, 4, 3, 4000, 3000).alias("cell"), levels.encoded_size(F.when(F.col("p_size") % 3 == 0, "Point").otherwise("LineString"), F.col("p_size")).alias("bytes"), levels.is_contour(F.col("p_size")).alias("contour"))
 
 
+@query()
+def level_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of three levels over the points, coarse to fine."""
+    p = view(spark, sf, "v_points").select(F.col("id").alias("item"), S.map_units(F.col("lon")).alias("x"), S.map_units(F.col("lat")).alias("y"), F.lit(20).alias("bytes"))
+    items = p.withColumn("level", F.explode(F.array(*map(F.lit, range(3))))).where((F.col("level") == 0) | (F.col("item") % F.when(F.col("level") == 1, 4).otherwise(16) == 0))
+    cells, _ = levels.hierarchy(items, (-50_000, 2_000_000, 140_000, 2_150_000), {2: 4, 1: 2, 0: 0})
+    return cells
+
+
 # --- rasters -----------------------------------------------------------------------------------------------------------
 
 @query("""with p as (select id, lon, lat, (lon + 1) / 1.0::double cf, (46 - lat) / 1.0::double rf from v_points),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,3 +151,62 @@ def level_bounds(start: Column, end: Column, n0: Column, n: Column) -> Column:
     place = lambda i: F.least(F.floor((i * (n - 1) + F.floor((n0 - 1) / 2)) / (n0 - 1)), n - 1)
     a, b = place(start), F.least(place(end - 1) + 1, n)
     return F.when((n0 > 1) & (n >= 2) & (b >= a + 2), F.struct(a.cast("int").alias("start"), b.cast("int").alias("end")))
+
+
+#: Fixed limits of a route centre: side of its box in map units, distinct roads, distinct nodes outside, bytes and halvings.
+CENTER_SIDE, CENTER_ROADS, CENTER_OUTSIDE, CENTER_BYTES, CENTER_DEPTH = 0xF800, 248, 254, 8192, 48
+
+
+def node_bytes(length_m: Column) -> Column:
+    """Upper bound of an arc's bytes in a route node; a node itself takes 6 more."""
+    return F.size(S.arc_length_code(S.arc_units(length_m), F.lit(False))[1]) + 5
+
+
+def split_centers(lat: np.ndarray, lon: np.ndarray, size: np.ndarray, roads: list[list[int]], dests: list[list[tuple[int, int]]]) -> list[tuple[int, int, np.ndarray]]:
+    """Halve the box of nodes along its longer side until every part keeps the limits; (lat, lon, node numbers by lon, lat)."""
+    out: list[tuple[int, int, np.ndarray]] = []
+    todo = [(np.arange(len(lat)), 0)]
+    while todo:
+        own, depth = todo.pop()
+        if not len(own):
+            continue
+        south, north, west, east = int(lat[own].min()), int(lat[own].max()) + 1, int(lon[own].min()), int(lon[own].max()) + 1
+        inside = set(zip(lat[own].tolist(), lon[own].tolist(), strict=True))
+        used = {r for k in own for r in roads[k]}
+        away = {tuple(d) for k in own for d in dests[k]} - inside
+        if max(north - south, east - west) < CENTER_SIDE and len(used) < CENTER_ROADS and len(away) < CENTER_OUTSIDE and size[own].sum() < CENTER_BYTES:
+            order = own[np.lexsort((lat[own], lon[own]))]
+            out.append((int((south + north) / 2), int((west + east) / 2), order))
+        elif depth > CENTER_DEPTH:
+            raise ValueError(f"{len(own)} route nodes at {south}, {west} do not fit a centre")
+        else:
+            axis, mid = (lon, int((west + east) / 2)) if east - west > north - south else (lat, int((south + north) / 2))
+            low = axis[own] < mid
+            todo += [(own[~low], depth + 1), (own[low], depth + 1)]
+    return out
+
+
+def route_centers(nodes: DataFrame, arc_rows: DataFrame, scope: list[str], road: str) -> DataFrame:
+    """(scope, bucket, center, center_lat, center_lon, place, src): each node's route centre.
+
+    `nodes`: (scope, src, node_group); nodes without arcs come first (bucket -1), then groups 0 to 4. Arcs are gathered
+    per node, then the nodes of one tile and bucket are split in one task: the map format bounds a tile. Nodes that can't
+    be split far enough are an error, not dropped.
+    """
+    out = arc_rows.groupBy(*scope, "src").agg(F.collect_set(road).alias("_roads"), F.collect_set("dst").alias("_dests"), F.sum(node_bytes(F.col("length_m"))).alias("_bytes"))
+    n = nodes.join(out, [*scope, "src"], "left").withColumn("bucket", F.when(F.col("_bytes").isNull(), -1).otherwise(F.col("node_group")).cast("int"))
+    n = n.select(*scope, "bucket", F.col("src.lat_u").alias("lat"), F.col("src.lon_u").alias("lon"), (6 + F.coalesce("_bytes", F.lit(0))).alias("bytes"), F.coalesce("_roads", F.array()).alias("roads"), F.coalesce("_dests", F.array()).alias("dests"))
+    keys = [*scope, "bucket"]
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        lat, lon = rows["lat"].to_numpy(), rows["lon"].to_numpy()
+        dests = [[(d["lat_u"], d["lon_u"]) for d in v] for v in rows["dests"]]
+        found = split_centers(lat, lon, rows["bytes"].to_numpy(), list(rows["roads"]), dests)
+        parts = [pd.DataFrame({"center": c, "center_lat": a, "center_lon": b, "place": np.arange(len(own)), "lat": lat[own], "lon": lon[own]}) for c, (a, b, own) in enumerate(found)]
+        made = pd.concat(parts)
+        for name, v in zip(keys, key, strict=True):
+            made.insert(0, name, v)
+        return made[[*keys, "center", "center_lat", "center_lon", "place", "lat", "lon"]]
+
+    kinds = ", ".join(f"`{c}` {n.schema[c].dataType.simpleString()}" for c in keys)
+    return n.groupBy(*keys).applyInPandas(run, f"{kinds}, center int, center_lat int, center_lon int, place int, lat int, lon int")
