@@ -219,7 +219,9 @@ def near_links(texts: DataFrame, distance: int, least: float, dense: int = 32) -
     close = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= distance
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
     other = lambda rows: rows.select(F.col("key").alias("key_b"), F.col("node").alias("node_b"), F.col("fp").alias("fp_b"))
-    pairs = few.select("key", "node", "fp").join(other(few), (F.col("key") == F.col("key_b")) & (F.col("node") < F.col("node_b")) & close("fp", "fp_b")).select(*pair("node", "node_b"))
+    # the same plan on both sides, without renamed columns: Spark shuffles it once and reuses it
+    x, y = few.select("key", "node", "fp").alias("x"), few.select("key", "node", "fp").alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & close("x.fp", "y.fp")).select(*pair("x.node", "y.node"))
     star = hot.where((F.col("node") != F.col("hub")) & close("fp", "hub_fp")).select(*pair("node", "hub"))
     linked = save(verified(pairs.union(star).distinct(), texts, least), "dedup_linked")
     rest = hot.where("node <> hub").select("key", "node", "fp", *pair("node", "hub")).join(linked, ["a", "b"], "left_anti").select("key", "node", "fp")
