@@ -193,40 +193,74 @@ def similarity(a: list[bytes], b: list[bytes]) -> np.ndarray:
     return ((x == y) & used).sum(axis=1) / np.maximum(1, used.sum(axis=1))
 
 
-def _keyed_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        node, fps, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
-        for at in range(0, len(fps), 4096):
-            part = slice(at, at + 4096)
-            rows, found = keys(fps[part], False)
-            yield pa.RecordBatch.from_arrays([pa.array(found), *(pa.array(x[part][rows]) for x in (node, fps, n))], ["key", "node", "fp", "n"])
+SAMPLE_TEXTS, SAMPLE_SHARE, COMMON = 20_000, 1 / 64, 200_000
 
 
-def near_links(texts: DataFrame, distance: int, least: float, dense: int = 32) -> DataFrame:
-    """(node, fp, n, sketch), one row a distinct text -> links (a, b) of at least `least` similarity within `distance` bits.
+def common_shingles(docs: DataFrame, words: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that several distinct texts of a sample hold, and in how many (at most COMMON of them).
 
-    The links join all that the pairs within wide-key buckets would join. Buckets of up to `dense` texts are paired fully.
-    In a denser one every text meets the bucket's most repeated text; those it links to hang together already, and each of
-    the rest meets the whole bucket. Buckets are counted with partial sums first, so a hot one is split like any hot key.
+    They only set the order in which a text's shingles are indexed, so what the sample misses costs time and no pair.
     """
-    keyed = texts.select("node", "fp", "n").mapInArrow(_keyed_texts, "key long, node long, fp long, n long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in slices(batch, text_col):
+                for t in texts:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, words)).view(np.int64))], ["key"])
+
+    share = min(1.0, max(SAMPLE_SHARE, SAMPLE_TEXTS / max(1, docs.count())))
+    some = docs.where(F.col(id_col).isNotNull() & (F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < share * (1 << 20)))
+    some = some.groupBy(F.md5(text_col).alias("same")).agg(F.first(text_col).alias(text_col)).select(text_col)
+    rows = some.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").cast("int").alias("n")).where("n > 2")
+    found = rows.orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
+    keys, n = found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The first shingles of a set (sorted, distinct) in one order for all texts, rare ones first.
+
+    Sets of `least` similarity share at least ceil(least * size) shingles, so one of the first size - that + 1 of each.
+    """
+    keys, n = common
+    seen = np.zeros(len(shingles), np.int64)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
+        seen = np.where(keys[at] == shingles, n[at], 0)
+    most = len(shingles) - int(np.ceil(least * len(shingles) - 1e-9)) + 1
+    return shingles[np.lexsort((shingles, seen))][: most if len(shingles) else 0]
+
+
+def near_links(texts: DataFrame, check, least: float, dense: int = 32) -> DataFrame:
+    """(node, n, size, tokens), one row a distinct text -> links (a, b) of at least `least` similarity; `check` verifies pairs.
+
+    Texts that share a shingle of their prefixes are candidates, unless what follows it in either set is too short for
+    `least`; no pair is lost. The links join all that the pairs within a shingle's bucket would join. Buckets of up to
+    `dense` texts are paired fully. In a denser one every text meets the bucket's most repeated text; those it links to
+    hang together already, and each of the rest meets the whole bucket. Buckets are counted with partial sums first, so a
+    hot one is split like any hot key.
+    """
+    keyed = texts.select("node", "n", "size", F.posexplode("tokens").alias("place", "key"))
     full = save(keyed.groupBy("key").count().where(F.col("count") > dense).select("key"), "dedup_dense")
     number = full.count()
     few = checked_join(keyed, full, "key", "left_anti", number)
     hot = save(checked_join(keyed, full, "key", "inner", number), "dedup_hot")
-    hubs = hot.groupBy("key").agg(F.max(F.struct("n", "node", "fp")).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.fp").alias("hub_fp"))
-    hot = save(checked_join(hot.select("key", "node", "fp"), hubs, "key", "inner", number), "dedup_hubs")
-    close = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= distance
+    hubs = hot.groupBy("key").agg(F.max(F.struct("n", "node", "size", "place")).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.size").alias("size_hub"), F.col("hub.place").alias("place_hub"))
+    hot = save(checked_join(hot.select("key", "node", "size", "place"), hubs, "key", "inner", number), "dedup_hubs")
+    rest_of = lambda size, place: F.col(size) - F.col(place)
+    # the first shingle two sets share and all behind it bound their overlap
+    close = lambda s, p, t, q: F.least(rest_of(s, p), rest_of(t, q)) >= (F.col(s) + F.col(t)) * (least / (1 + least)) - 1e-6
     pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    other = lambda rows: rows.select(F.col("key").alias("key_b"), F.col("node").alias("node_b"), F.col("fp").alias("fp_b"))
+    other = lambda rows: rows.select(*[F.col(c).alias(f"{c}_b") for c in ("key", "node", "size", "place")])
     # the same plan on both sides, without renamed columns: Spark shuffles it once and reuses it
-    x, y = few.select("key", "node", "fp").alias("x"), few.select("key", "node", "fp").alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & close("x.fp", "y.fp")).select(*pair("x.node", "y.node"))
-    star = hot.where((F.col("node") != F.col("hub")) & close("fp", "hub_fp")).select(*pair("node", "hub"))
-    linked = save(verified(pairs.union(star).distinct(), texts, least), "dedup_linked")
-    rest = hot.where("node <> hub").select("key", "node", "fp", *pair("node", "hub")).join(linked, ["a", "b"], "left_anti").select("key", "node", "fp")
-    more = rest.join(other(hot), (F.col("key") == F.col("key_b")) & (F.col("node") != F.col("node_b")) & close("fp", "fp_b")).select(*pair("node", "node_b"))
-    return linked.union(verified(more.distinct(), texts, least))
+    x, y = few.select("key", "node", "size", "place").alias("x"), few.select("key", "node", "size", "place").alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & close("x.size", "x.place", "y.size", "y.place")).select(*pair("x.node", "y.node"))
+    star = hot.where((F.col("node") != F.col("hub")) & close("size", "place", "size_hub", "place_hub")).select(*pair("node", "hub"))
+    linked = save(check(save(pairs.union(star).distinct(), "dedup_pairs")), "dedup_linked")
+    rest = hot.where("node <> hub").select("key", "node", "size", "place", *pair("node", "hub")).join(linked, ["a", "b"], "left_anti").select("key", "node", "size", "place")
+    more = rest.join(other(hot), (F.col("key") == F.col("key_b")) & (F.col("node") != F.col("node_b")) & close("size", "place", "size_b", "place_b")).select(*pair("node", "node_b"))
+    return linked.union(check(save(more.distinct(), "dedup_more")))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -245,32 +279,35 @@ def _verified(least: float):
     return run
 
 
-def deduplicate(docs: DataFrame, least: float = 0.8, words: int = 5, width: int = 2, distance: int = 8, dense: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, least: float = 0.8, words: int = 5, dense: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document (the least id) of each group of exact and near copies.
 
-    Near copies have `least` similarity or more on shingles of `words` words. SimHash over pairs of words (`width`) is
-    close for them; candidates come from Golay keys (all within 5 bits, most within `distance`) and are verified on a
-    sketch of the word shingles (256 bins, standard error below 0.03). Groups are components of verified links; `dense`
-    is the size from which a bucket is joined by way of one text first, and does not change them.
+    Near copies have `least` similarity or more on shingles of `words` words. Candidates are all pairs that share one of
+    the shingles of their prefixes, which every such pair does; they are verified on a sketch of the word shingles (256
+    bins, standard error below 0.03). Groups are components of verified links; `dense` is the size from which a bucket
+    is joined by way of one text first, and does not change them.
     Rows that repeat an id stay together; rows with a null id stay.
     """
     spark = docs.sparkSession
     small_batches(spark)
+    common = common_shingles(docs, words, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for batch in batches:
             for part, texts in slices(batch, text_col):
-                rows = [(xxhash.xxh3_128_digest(t or b""), fingerprint(shingle_hashes(t, width)), sketch(shingle_hashes(t, words))) for t in texts]
-                same, fp, sk = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), pa.array(fp, pa.int64()), pa.array(sk, pa.binary())], ["id", "same", "fp", "sketch"])
+                sets = [np.unique(shingle_hashes(t, words)) for t in texts]
+                tokens = [prefix(s, common, least).view(np.int64) for s in sets]
+                same, size = [xxhash.xxh3_128_digest(t or b"") for t in texts], [len(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), pa.array(size, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array([sketch(s) for s in sets], pa.binary())], ["id", "same", "size", "tokens", "sketch"])
 
-    seen = save(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, same binary, fp long, sketch binary"), "dedup_seen")
+    seen = save(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, same binary, size int, tokens array<long>, sketch binary"), "dedup_seen")
     node = save(seen.groupBy("same").agg(F.min("id").alias("node"), F.count("*").alias("n")), "dedup_exact")
-    texts = seen.join(node.withColumnRenamed("node", "id"), ["same", "id"]).dropDuplicates(["id"])
-    texts = save(texts.select(F.col("id").alias("node"), "fp", "n", "sketch"), "dedup_texts")
-    linked = near_links(texts, distance, least, dense)
+    # an id that repeats with other texts has a row for each of them
+    texts = seen.join(node.withColumnRenamed("node", "id"), ["same", "id"]).dropDuplicates(["same"])
+    texts = save(texts.select(F.col("id").alias("node"), "n", "size", "tokens", "sketch"), "dedup_texts")
+    linked = near_links(texts, lambda pairs: verified(pairs, texts, least).distinct(), least, dense)
     group = save(components(linked, "dedup_links"), "dedup_groups")
     kept = node.join(group, "node", "left").select("same", F.coalesce("component", "node").alias("keep"))
     drop = save(seen.select("id", "same").join(kept, "same").where("id <> keep").select(F.col("id").alias(id_col)).distinct(), "dedup_drop")

@@ -142,6 +142,35 @@ def test_deduplicate_dense_buckets(spark):
     assert len(full) < 30
 
 
+def five_words(t):
+    w = t.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def changed_copies(seed, shares, each=20):
+    """(text, copy, five-word similarity): passages appended, cut and inserted, in texts of 30 to 400 words."""
+    r = np.random.default_rng(seed)
+    out = []
+    for share in shares:
+        for k in range(each):
+            n = (30, 100, 400)[k % 3]
+            t = [f"w{x}" for x in r.integers(0, 5000, n)]
+            m = int(n * share)
+            added, at = [f"w{x}" for x in r.integers(0, 5000, m)], int(r.integers(0, n))
+            copy = (t + added, t[: n - m], t[:at] + added + t[at:])[k // 3 % 3]
+            a, b = " ".join(t), " ".join(copy)
+            out.append((a, b, len(five_words(a) & five_words(b)) / len(five_words(a) | five_words(b))))
+    return out
+
+
+def test_deduplicate_appended_and_cut_passages(spark):
+    """Pairs of 0.9 or more are all found, however far apart their fingerprints are."""
+    found = [p for p in changed_copies(6, (0.05, 0.08)) if p[2] >= 0.9]
+    rows = [(k, a) for k, (a, *_) in enumerate(found)] + [(1000 + k, b) for k, (_, b, _) in enumerate(found)]
+    out = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert len(found) > 20 and sorted(x[0] for x in out.select("doc_id").collect()) == list(range(len(found)))
+
+
 def test_clashing_names(spark):
     odd_docs = spark.createDataFrame([(k, f"some words {k} here", "en", "a", 1, 2, 3, 4, 0.5, "s") for k in range(8)], "doc_id long, text string, lang string, source string, _key long, target long, source_size long, _copy long, score double, shard string")
     out = mix.mix(odd_docs)
