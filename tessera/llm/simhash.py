@@ -170,29 +170,6 @@ def near_groups(docs: DataFrame, width: int = 3, distance: int = 3, id_col: str
     return checked_join(fps, named, "fp", "inner").select(id_col, "fp", "component_id")
 
 
-SKETCH = 256
-EMPTY = 0xFFFF
-
-
-def sketch(hashes: np.ndarray) -> bytes:
-    """One-permutation minimum of 16 hash bits in each of 256 bins."""
-    out = np.full(SKETCH, EMPTY, "<u2")
-    if len(hashes):
-        code = (hashes & np.uint64(SKETCH - 1)) << np.uint64(16) | np.minimum(hashes >> np.uint64(48), np.uint64(EMPTY - 1))
-        code.sort()
-        bins = code >> np.uint64(16)
-        least = np.concatenate(([True], bins[1:] != bins[:-1]))
-        out[bins[least].astype(np.intp)] = (code[least] & np.uint64(EMPTY)).astype("<u2")
-    return out.tobytes()
-
-
-def similarity(a: list[bytes], b: list[bytes]) -> np.ndarray:
-    """Estimated Jaccard similarity of sketched sets."""
-    x, y = (np.frombuffer(b"".join(v), "<u2").reshape(-1, SKETCH) for v in (a, b))
-    used = (x != EMPTY) | (y != EMPTY)
-    return ((x == y) & used).sum(axis=1) / np.maximum(1, used.sum(axis=1))
-
-
 SAMPLE_TEXTS, SAMPLE_SHARE, COMMON = 20_000, 1 / 64, 200_000
 
 
@@ -263,29 +240,44 @@ def near_links(texts: DataFrame, check, least: float, dense: int = 32) -> DataFr
     return linked.union(check(save(more.distinct(), "dedup_more")))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sketches agree to at least `least`."""
-    side = texts.select("node", "sketch")
+def verified(pairs: DataFrame, docs: DataFrame, words: int, least: float, id_col: str, text_col: str) -> DataFrame:
+    """The pairs (a, b) of ids whose texts' shingle sets have a similarity of at least `least`; only texts of pairs are read into sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch, text_col):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique(shingle_hashes(t, words)).tobytes() for t in texts], pa.binary())], ["node", "shingles"])
+
+    nodes = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "dedup_nodes")
+    texts = checked_join(docs.select(F.col(id_col).cast("long").alias("node"), text_col), nodes, "node", "left_semi")
+    side = save(texts.mapInArrow(run, "node long, shingles binary").distinct(), "dedup_sets")
     both = pairs.join(side.toDF("a", "sa"), "a").join(side.toDF("b", "sb"), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(_verified(least), "a long, b long")
+    return both.select("a", "b", "sa", "sb").mapInArrow(_verified(least), "a long, b long").distinct()
 
 
 def _verified(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = similarity(batch.column(2).to_pylist(), batch.column(3).to_pylist()) >= least
-            yield batch.select([0, 1]).filter(pa.array(near))
+            near = [similar(x.as_py(), y.as_py(), least) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
 
     return run
 
 
+def similar(a: bytes, b: bytes, least: float) -> bool:
+    """Whether two sets of shingle hashes have a Jaccard similarity of at least `least`."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared >= least * (len(x) + len(y) - shared) - 1e-9
+
+
 def deduplicate(docs: DataFrame, least: float = 0.8, words: int = 5, dense: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document (the least id) of each group of exact and near copies.
 
     Near copies have `least` similarity or more on shingles of `words` words. Candidates are all pairs that share one of
-    the shingles of their prefixes, which every such pair does; they are verified on a sketch of the word shingles (256
-    bins, standard error below 0.03). Groups are components of verified links; `dense` is the size from which a bucket
-    is joined by way of one text first, and does not change them.
+    the shingles of their prefixes, which every such pair does; they are verified on their whole sets of shingles (as
+    64-bit hashes). Groups are components of verified links; `dense` is the size from which a bucket is joined by way of
+    one text first, and does not change them.
     Rows that repeat an id stay together; rows with a null id stay.
     """
     spark = docs.sparkSession
@@ -300,14 +292,14 @@ def deduplicate(docs: DataFrame, least: float = 0.8, words: int = 5, dense: int
                 sets = [np.unique(shingle_hashes(t, words)) for t in texts]
                 tokens = [prefix(s, common, least).view(np.int64) for s in sets]
                 same, size = [xxhash.xxh3_128_digest(t or b"") for t in texts], [len(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), pa.array(size, pa.int32()), pa.array(tokens, pa.list_(pa.int64())), pa.array([sketch(s) for s in sets], pa.binary())], ["id", "same", "size", "tokens", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), pa.array(size, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], ["id", "same", "size", "tokens"])
 
-    seen = save(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, same binary, size int, tokens array<long>, sketch binary"), "dedup_seen")
+    seen = save(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, same binary, size int, tokens array<long>"), "dedup_seen")
     node = save(seen.groupBy("same").agg(F.min("id").alias("node"), F.count("*").alias("n")), "dedup_exact")
     # an id that repeats with other texts has a row for each of them
     texts = seen.join(node.withColumnRenamed("node", "id"), ["same", "id"]).dropDuplicates(["same"])
-    texts = save(texts.select(F.col("id").alias("node"), "n", "size", "tokens", "sketch"), "dedup_texts")
-    linked = near_links(texts, lambda pairs: verified(pairs, texts, least).distinct(), least, dense)
+    texts = save(texts.select(F.col("id").alias("node"), "n", "size", "tokens"), "dedup_texts")
+    linked = near_links(texts, lambda pairs: verified(pairs, docs, words, least, id_col, text_col), least, dense)
     group = save(components(linked, "dedup_links"), "dedup_groups")
     kept = node.join(group, "node", "left").select("same", F.coalesce("component", "node").alias("keep"))
     drop = save(seen.select("id", "same").join(kept, "same").where("id <> keep").select(F.col("id").alias(id_col)).distinct(), "dedup_drop")

@@ -171,6 +171,25 @@ def test_deduplicate_appended_and_cut_passages(spark):
     assert len(found) > 20 and sorted(x[0] for x in out.select("doc_id").collect()) == list(range(len(found)))
 
 
+def test_deduplicate_equals_exact_similarity(spark):
+    """Pairs beside 0.8 fall on the side their own sets put them."""
+    pairs = [p for p in changed_copies(7, (0.1, 0.15, 0.2, 0.22), 60) if 0.6 <= p[2]]
+    rows = [(k, a) for k, (a, *_) in enumerate(pairs)] + [(1000 + k, b) for k, (_, b, _) in enumerate(pairs)]
+    out = {x[0] for x in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+    near = [s >= 0.8 for *_, s in pairs]
+    assert 20 < sum(near) < len(pairs) - 20
+    assert out == {*range(len(pairs)), *(1000 + k for k, n in enumerate(near) if not n)}
+
+
+def test_deduplicate_repeated_id(spark):
+    """Every text of an id that repeats counts."""
+    r = np.random.default_rng(8)
+    a, b = (" ".join(f"w{k}" for k in r.integers(0, 5000, 100)) for _ in range(2))
+    for first, second in ((a, b), (b, a)):
+        out = simhash.deduplicate(spark.createDataFrame([(1, first), (1, second), (2, f"{a} end"), (3, f"{b} end")], "doc_id long, text string"))
+        assert [x[0] for x in out.select("doc_id").collect()] == [1, 1]
+
+
 def test_clashing_names(spark):
     odd_docs = spark.createDataFrame([(k, f"some words {k} here", "en", "a", 1, 2, 3, 4, 0.5, "s") for k in range(8)], "doc_id long, text string, lang string, source string, _key long, target long, source_size long, _copy long, score double, shard string")
     out = mix.mix(odd_docs)
