@@ -378,6 +378,18 @@ def test_secret_offsets(spark):
     assert {(r["doc_id"], r["start"], r["end"]) for r in got} == {(1, 13, 53), (None, 8, 48)}
 
 
+def test_secret_values_of_any_kind(spark):
+    """Short, digitless and symbol-holding values, credentials, and names before `=` (marked by braces)."""
+    marked = [
+        "set API_KEY={Zk3vQ9xLw2Rt8YbN5mPc} now", 'password = "{q7!Rx#2pVz}" then', "the DB_PASSWORD={kT9$wLm2&xQ} and", 'client_secret: "{QxZvKjWqPfYbGmTdRhLs}" end',
+        "see postgres://admin:{s3cRe7pw!x}@db.example.com/main for", "été token={0f1e2d3c4b5a69788796a5b4c3d2e1f001234567} fin", "plain words: nothing of the kind, mailto:someone@site.example.com", "https://site.example.com/a/page?title=holiday&lang=english",
+    ]
+    rows = [(k, re.sub("[{}]", "", t)) for k, t in enumerate(marked)]
+    want = {(k, t.index("{"), t.index("}") - 1) for k, t in enumerate(marked) if "{" in t}
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string"), secrets.train(secrets.labelled())).collect()
+    assert {(r["doc_id"], r["start"], r["end"]) for r in got} == want
+
+
 def test_urls(spark):
     rows = [(1, "http://A.Example.COM/en/70?x"), (2, "https://com/en/"), (3, "http://xcom/en/1"), (4, "http://a.net/de/8"), (5, "http://b.example.net/de/81#t"), (6, None), (7, "no scheme"), (8, "http://h.org"), (9, "HTTP://h.ORG/es/"), (10, "a://b://c/d")]
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
