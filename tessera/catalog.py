@@ -514,7 +514,7 @@ def visvalingam(spark: SparkSession, sf: str) -> DataFrame:
     """Topology-safe: vertices shared by two or more roads are anchored."""
     keyed = lambda df: df.withColumn("kx", S.snap(F.col("lon"))).withColumn("ky", S.snap(F.col("lat")))
     v = keyed(view(spark, sf, "v_vertices"))
-    anchors = v.join(R.shared_vertices(view(spark, sf, "v_vertices"), [], "road_id").where("features >= 40"), ["kx", "ky"], "left_semi").groupBy("road_id").agg(F.collect_list("pt_idx").alias("anchors"))
+    anchors = v.join(R.shared_vertices(view(spark, sf, "v_vertices"), [], "road_id"), ["kx", "ky"], "left_semi").groupBy("road_id").agg(F.collect_list("pt_idx").alias("anchors"))
     g = lines(spark, sf).join(anchors, "road_id", "left")
     out = kernels.mapped(g, lambda p, o: [p[kernels.visvalingam(p, 0.05, set(o["anchors"] or ()))]], options=("anchors",))
     return out.select("road_id", F.size("geometry").alias("points"))
