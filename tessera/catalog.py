@@ -403,7 +403,7 @@ def grid_and_size(spark: SparkSession, sf: str) -> DataFrame:
 def level_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
     """Cells of three levels over the points, coarse to fine."""
     p = view(spark, sf, "v_points").select(F.col("id").alias("item"), S.map_units(F.col("lon")).alias("x"), S.map_units(F.col("lat")).alias("y"), F.lit(20).alias("bytes"))
-    items = p.withColumn("level", F.explode(F.array(*map(F.lit, range(3))))).where((F.col("level") == 0) | (F.col("item") % F.when(F.col("level") == 1, 4).otherwise(16) == 0))
+    items = p.withColumn("level", F.explode(F.array(*map(F.lit, range(3)))))
     cells, _ = levels.hierarchy(items, (-50_000, 2_000_000, 140_000, 2_150_000), {2: 4, 1: 2, 0: 0})
     return cells
 

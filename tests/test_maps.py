@@ -59,6 +59,14 @@ def test_hierarchy(spark):
     assert cells.agg(F.sum("items")).first()[0] == len(rows)
 
 
+def test_hierarchy_query_has_every_point_on_every_level(spark):
+    from tessera.fixtures import view
+
+    n = view(spark, DATA, "v_points").count()
+    got = {r["level"]: r["n"] for r in catalog.level_hierarchy(spark, DATA).groupBy("level").agg(F.sum("items").alias("n")).collect()}
+    assert got == {0: n, 1: n, 2: n}
+
+
 def test_hierarchy_of_nothing(spark):
     items = spark.createDataFrame([], "level int, item long, x int, y int, bytes int")
     cells, placed = levels.hierarchy(items, (0, 0, 100, 100), {1: 2, 0: 0})
