@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tessera.llm import entries, langid, mix, mpeg, quality, secrets, shards, simhash, tiling, tokens, urls
 from tessera.llm.common import components, table
@@ -417,3 +418,44 @@ def test_pipeline(spark, docs):
     assert not kept & leaks
     texts = collections.Counter(t for d, t, *_ in docs if d in kept)
     assert max(texts.values()) == 1
+
+
+def exact_survivors(rows):
+    """Ids that near-dedup keeps, by comparing all pairs of (id, text)."""
+    sets = {}
+    for d, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    text, group = {d: t or "" for d, t in rows}, {d: d for d, _ in rows}
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[:i]:
+            both = len(sets[a] & sets[b])
+            if text[a] == text[b] or (both and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-9):
+                x, y = sorted((root(a), root(b)))
+                group[y] = x
+    return {d for d in ids if root(d) == d}
+
+
+def test_pipeline_equals_exact_near_dedup(spark, docs, tmp_path):
+    import corpus_pipeline as cp
+
+    planted = [t for p in changed_copies(9, (0.05, 0.1, 0.15, 0.2), 12) for t in p[:2]]
+    start = table(spark, DATA, "documents")
+    more = spark.createDataFrame([(10**6 + k, t, "en", "web", len(t)) for k, t in enumerate(planted)], "doc_id long, text string, lang string, source string, n_chars long")
+    start.unionByName(more.select(*[F.col(c).cast(start.schema[c].dataType) for c in start.columns])).write.parquet(f"file://{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        table(spark, DATA, name).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    sf = f"file://{tmp_path}"
+    all_docs = table(spark, sf, "documents")
+    want = exact_survivors([tuple(r) for r in all_docs.select("doc_id", "text").collect()])
+    assert {r[0] for r in cp.near_deduplicated(spark, all_docs, sf).select("doc_id").collect()} == want
+    good = exact_survivors([tuple(r) for r in cp.good_quality(spark, all_docs, sf).select("doc_id", "text").collect()])
+    kept = {r[0] for r in cp.run(spark, sf).select("doc_id").collect()}
+    assert kept and kept <= good
