@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a key table that may be broadcast (tens of MB at most); beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Measured bytes of a table that may be broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,15 +43,28 @@ def save(df: DataFrame, name: str, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch of whole texts can hold."""
+def small_batches(spark: SparkSession, rows: int = 512, most_bytes: int = 16 << 20) -> None:
+    """Bound what one Arrow batch of whole texts can hold, by rows and by bytes, for the session's later queries."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most_bytes))
 
 
-def checked_join(big: DataFrame, small: DataFrame, on, how: str, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Join that broadcasts `small` only if its counted rows stay under `limit`; else Spark shuffles (AQE splits hot keys)."""
-    rows = small.count() if rows is None else rows
-    return big.join(F.broadcast(small) if rows <= limit else small.hint("merge"), on, how)
+def weight(df: DataFrame) -> int:
+    """Bytes of df's rows: counted rows by their fixed columns, and the measured length of strings, binaries and arrays."""
+    flat = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    long = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in flat.items() if kind in ("string", "binary")]
+    long += [F.coalesce(F.size(c), F.lit(0)) * 8 for c, kind in flat.items() if kind.startswith("array")]
+    row = df.agg(F.count("*"), *[F.sum(x) for x in long]).first()
+    return row[0] * (16 + 8 * len(flat)) + sum(x or 0 for x in row[1:])
+
+
+def checked_join(big: DataFrame, small: DataFrame, on, how: str, rows: int | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Join that broadcasts `small` only if its measured bytes stay under `limit`; else Spark shuffles (AQE splits hot keys).
+
+    `rows`: their number, where known, for a table of numbers only.
+    """
+    held = weight(small) if rows is None else rows * (16 + 8 * len(small.columns))
+    return big.join(F.broadcast(small) if held <= limit else small.hint("merge"), on, how)
 
 
 def slices(batch: pa.RecordBatch, text: str = "text", most: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes | None]]]:
@@ -93,7 +106,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     edges = save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), name)
     if edges.isEmpty():
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    before = None
     while True:
         # large star: every larger neighbour of u hangs on the least node around u
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -102,11 +114,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         # small star: u and its lesser neighbours hang on the least of them
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
         mins = down.groupBy("u").agg(F.min("v").alias("m"))
-        new = save(down.join(mins, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).union(mins.select(F.col("m").alias("a"), F.col("u").alias("b"))).where("a < b").distinct(), name)
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.count_distinct("b")).first()
+        new = down.join(mins, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).union(mins.select(F.col("m").alias("a"), F.col("u").alias("b")))
+        new = save(new.where("a < b").distinct(), name)
+        settled = new.count() == edges.count() and new.join(edges, ["a", "b"], "left_anti").isEmpty()
         edges = new
-        if before is not None and tuple(now) == before and now[0] == now[2]:
+        if settled:
             break
-        before = tuple(now)
     roots = edges.select(F.col("a").alias("node")).distinct()
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(roots.select("node", F.col("node").alias("component")))

@@ -15,11 +15,11 @@ all ids are null; an empty table gives an empty result; other columns pass throu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import checked_join, components, save, slices, small_batches, table
@@ -171,12 +171,23 @@ def near_groups(docs: DataFrame, width: int = 3, distance: int = 3, id_col: str
 
 
 SAMPLE_TEXTS, SAMPLE_SHARE, COMMON = 20_000, 1 / 64, 200_000
+#: Bits of a text's priority, size and place in one long, so that an indexed shingle is three longs.
+SIZE_BITS, PLACE_BITS, TIMES_BITS = 26, 24, 13
+#: Texts of a bucket that meet the whole bucket in the first round after the hub's; later rounds take four times as many.
+FIRST_ROUND = 32
+
+
+def identity(text_col: str) -> list[Column]:
+    """(h, c): two checksums that stand for a whole text (null: the empty one)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.xxhash64(text).alias("h"), F.crc32(text.cast("binary")).alias("c")]
 
 
 def common_shingles(docs: DataFrame, words: int, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes of shingles that several distinct texts of a sample hold, and in how many (at most COMMON of them).
 
-    They only set the order in which a text's shingles are indexed, so what the sample misses costs time and no pair.
+    They only set the order in which a text's shingles are indexed and by which plan their buckets are read, so what the
+    sample misses costs time and no pair.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,8 +197,9 @@ def common_shingles(docs: DataFrame, words: int, id_col: str, text_col: str) ->
                     yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(t, words)).view(np.int64))], ["key"])
 
     share = min(1.0, max(SAMPLE_SHARE, SAMPLE_TEXTS / max(1, docs.count())))
-    some = docs.where(F.col(id_col).isNotNull() & (F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < share * (1 << 20)))
-    some = some.groupBy(F.md5(text_col).alias("same")).agg(F.first(text_col).alias(text_col)).select(text_col)
+    same = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    some = docs.select(text_col, same.alias("same")).where(F.pmod("same", F.lit(1 << 20)) < share * (1 << 20))
+    some = some.groupBy("same").agg(F.first(text_col).alias(text_col)).select(text_col)
     rows = some.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").cast("int").alias("n")).where("n > 2")
     found = rows.orderBy(F.desc("n"), "key").limit(COMMON).toArrow()
     keys, n = found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
@@ -195,8 +207,8 @@ def common_shingles(docs: DataFrame, words: int, id_col: str, text_col: str) ->
     return keys[order], n[order]
 
 
-def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
-    """The first shingles of a set (sorted, distinct) in one order for all texts, rare ones first.
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of a set (sorted, distinct) in one order for all texts, those not in `common` first; (rare, common).
 
     Sets of `least` similarity share at least ceil(least * size) shingles, so one of the first size - that + 1 of each.
     """
@@ -205,105 +217,200 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: f
     if len(keys):
         at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
         seen = np.where(keys[at] == shingles, n[at], 0)
-    most = len(shingles) - int(np.ceil(least * len(shingles) - 1e-9)) + 1
-    return shingles[np.lexsort((shingles, seen))][: most if len(shingles) else 0]
-
+    most = len(shingles) - int(np.ceil(least * len(shingles) - 1e-9)) + 1 if len(shingles) else 0
+    order = np.lexsort((shingles, seen))[:most]
+    first, known = shingles[order], seen[order] > 0
+    return first[~known], first[known]
 
-def near_links(texts: DataFrame, check, least: float, dense: int = 32) -> DataFrame:
-    """(node, n, size, tokens), one row a distinct text -> links (a, b) of at least `least` similarity; `check` verifies pairs.
 
-    Texts that share a shingle of their prefixes are candidates, unless what follows it in either set is too short for
-    `least`; no pair is lost. The links join all that the pairs within a shingle's bucket would join. Buckets of up to
-    `dense` texts are paired fully. In a denser one every text meets the bucket's most repeated text; those it links to
-    hang together already, and each of the rest meets the whole bucket. Buckets are counted with partial sums first, so a
-    hot one is split like any hot key.
-    """
-    keyed = texts.select("node", "n", "size", F.posexplode("tokens").alias("place", "key"))
-    full = save(keyed.groupBy("key").count().where(F.col("count") > dense).select("key"), "dedup_dense")
-    number = full.count()
-    few = checked_join(keyed, full, "key", "left_anti", number)
-    hot = save(checked_join(keyed, full, "key", "inner", number), "dedup_hot")
-    hubs = hot.groupBy("key").agg(F.max(F.struct("n", "node", "size", "place")).alias("hub")).select("key", F.col("hub.node").alias("hub"), F.col("hub.size").alias("size_hub"), F.col("hub.place").alias("place_hub"))
-    hot = save(checked_join(hot.select("key", "node", "size", "place"), hubs, "key", "inner", number), "dedup_hubs")
-    rest_of = lambda size, place: F.col(size) - F.col(place)
-    # the first shingle two sets share and all behind it bound their overlap
-    close = lambda s, p, t, q: F.least(rest_of(s, p), rest_of(t, q)) >= (F.col(s) + F.col(t)) * (least / (1 + least)) - 1e-6
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    other = lambda rows: rows.select(*[F.col(c).alias(f"{c}_b") for c in ("key", "node", "size", "place")])
-    # the same plan on both sides, without renamed columns: Spark shuffles it once and reuses it
-    x, y = few.select("key", "node", "size", "place").alias("x"), few.select("key", "node", "size", "place").alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & close("x.size", "x.place", "y.size", "y.place")).select(*pair("x.node", "y.node"))
-    star = hot.where((F.col("node") != F.col("hub")) & close("size", "place", "size_hub", "place_hub")).select(*pair("node", "hub"))
-    linked = save(check(save(pairs.union(star).distinct(), "dedup_pairs")), "dedup_linked")
-    rest = hot.where("node <> hub").select("key", "node", "size", "place", *pair("node", "hub")).join(linked, ["a", "b"], "left_anti").select("key", "node", "size", "place")
-    more = rest.join(other(hot), (F.col("key") == F.col("key_b")) & (F.col("node") != F.col("node_b")) & close("size", "place", "size_b", "place_b")).select(*pair("node", "node_b"))
-    return linked.union(check(save(more.distinct(), "dedup_more")))
-
-
-def verified(pairs: DataFrame, docs: DataFrame, words: int, least: float, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) of ids whose texts' shingle sets have a similarity of at least `least`; only texts of pairs are read into sets."""
+def classes(docs: DataFrame, least: float, words: int, id_col: str, text_col: str) -> DataFrame:
+    """One row a distinct text: node, h, c, least id, info (how often it is there, shingles), fp, prefix shingles."""
+    common = common_shingles(docs, words, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in slices(batch, text_col):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([np.unique(shingle_hashes(t, words)).tobytes() for t in texts], pa.binary())], ["node", "shingles"])
+                hashes = [shingle_hashes(t, words) for t in texts]
+                fps = np.fromiter(map(fingerprint, hashes), np.int64, len(texts))
+                sets = [np.unique(h) for h in hashes]
+                rare, hot = zip(*(prefix(s, common, least) for s in sets), strict=True)
+                lists = [pa.array([x.view(np.int64) for x in side], pa.list_(pa.int64())) for side in (rare, hot)]
+                sizes = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], sizes, pa.array(fps), *lists], ["id", "h", "c", "size", "fp", "rare", "hot"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    texts = docs.select(F.col(id_col).alias("id"), *identity(text_col), text_col)
+    seen = texts.mapInArrow(run, f"id {kind}, h long, c long, size long, fp long, rare array<long>, hot array<long>")
+    one = seen.groupBy("h", "c").agg(F.min("id").alias("least"), F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("size", "fp", "rare", "hot")])
+    times = F.least("n", F.lit((1 << TIMES_BITS) - 1))
+    info = F.shiftleft(times, SIZE_BITS + PLACE_BITS).bitwiseOR(F.shiftleft("size", PLACE_BITS))
+    return save(one.select(F.monotonically_increasing_id().alias("node"), "h", "c", "least", "n", info.alias("info"), "fp", "rare", "hot"), "dedup_classes")
+
+
+def close(x: str, y: str, least: float) -> Column:
+    """Whether two sets that share a shingle at their places can still be similar: it and all behind it bound the overlap."""
+    size = lambda c: F.shiftrightunsigned(c, PLACE_BITS).bitwiseAND((1 << SIZE_BITS) - 1)
+    rest = lambda c: size(c) - F.col(c).bitwiseAND((1 << PLACE_BITS) - 1)
+    return F.least(rest(x), rest(y)) >= (size(x) + size(y)) * (least / (1 + least)) - 1e-6
 
-    nodes = save(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "dedup_nodes")
-    texts = checked_join(docs.select(F.col(id_col).cast("long").alias("node"), text_col), nodes, "node", "left_semi")
-    side = save(texts.mapInArrow(run, "node long, shingles binary").distinct(), "dedup_sets")
-    both = pairs.join(side.toDF("a", "sa"), "a").join(side.toDF("b", "sb"), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(_verified(least), "a long, b long").distinct()
 
+def buckets(texts: DataFrame) -> DataFrame:
+    """(key, node, info, hub, hub_info, members) of every prefix shingle that two or more texts share; hub: the most repeated.
 
-def _verified(least: float):
+    Shingles known to be common are few: their hubs are pre-aggregated and broadcast. The others are dealt by shingle once.
+    """
+    place = F.col("place").cast("long")
+    rare = texts.select("node", "info", F.posexplode("rare").alias("place", "key"))
+    rare = rare.select("key", "node", F.col("info").bitwiseOR(place).alias("info"))
+    by_key = Window.partitionBy("key")
+    first = by_key.orderBy(F.desc("info"), "node")
+    rare = rare.select("key", "node", "info", F.first("node").over(first).alias("hub"), F.first("info").over(first).alias("hub_info"), F.count("*").over(by_key).alias("members"))
+    hot = texts.select("node", "info", F.size("rare").cast("long").alias("before"), F.posexplode("hot").alias("place", "key"))
+    hot = hot.select("key", "node", F.col("info").bitwiseOR(place + F.col("before")).alias("info"))
+    hubs = hot.groupBy("key").agg(F.max(F.struct("info", (-F.col("node")).alias("less"))).alias("top"), F.count("*").alias("members"))
+    hubs = hubs.where("members > 1").select("key", (-F.col("top.less")).alias("hub"), F.col("top.info").alias("hub_info"), "members")
+    hot = hot.join(F.broadcast(hubs), "key")  # at most COMMON rows
+    return save(rare.where("members > 1").unionByName(hot), "dedup_buckets")
+
+
+def golay_stars(texts: DataFrame, distance: int) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints differ in at most `distance` bits, by Golay keys: each text meets the most
+    repeated text of every index bucket that its nearby codewords name, and texts of one fingerprint meet one of them."""
+    own = texts.groupBy("fp").agg(F.max(F.struct("info", (-F.col("node")).alias("less"))).alias("top"))
+    own = save(own.select("fp", F.col("top.info").alias("info"), (-F.col("top.less")).alias("hub")), "dedup_fp")
+    same = texts.select("fp", "node").join(own, "fp").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    index = own.select("fp").mapInArrow(_keyed(True), "key long, fp long").join(own, "fp")
+    index = index.groupBy("key").agg(F.max(F.struct("info", (-F.col("hub")).alias("less"), "fp")).alias("top"))
+    index = index.select("key", (-F.col("top.less")).alias("a"), F.col("top.fp").alias("fa"))
+    query = own.select("fp").mapInArrow(_keyed(False), "key long, fp long")
+    near = (F.col("fp") != F.col("fa")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fa"))) <= distance)
+    across = query.join(index, "key").where(near).select("a", "fp").distinct().join(own, "fp")
+    return same.union(across.select("a", F.col("hub").alias("b")))
+
+
+def near_components(texts: DataFrame, check: Callable[[DataFrame], DataFrame], least: float, distance: int = 3) -> DataFrame:
+    """Texts of `classes` -> (node, component) of those with a link of at least `least` similarity.
+
+    First come pairs whose fingerprints meet by Golay keys. The similarity asked for reaches far beyond the bits that the
+    code decodes, so all pairs that share a shingle of their prefixes follow, which every similar pair does: each bucket's
+    texts meet its hub; then, while a bucket holds texts of several components, those outside its largest component meet
+    all its other components, some at a time. Pairs inside a component are not compared: they could join nothing more.
+    """
+    held = buckets(texts)
+    members = save(held.select("node").distinct(), "dedup_members")
+    compare, count = check(members), members.count()
+    tried = save(golay_stars(checked_join(texts, members, "node", "left_semi", count), distance), "dedup_pairs")
+    linked = compare(tried)
+    found = save(components(linked, "dedup_components"), "dedup_found")
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return checked_join(rows, found, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+
+    def meet(pairs: DataFrame) -> None:
+        """Compare pairs that were not tried yet, each once."""
+        nonlocal tried, linked, found
+        known = tried.union(tried.select("b", "a"))
+        new = save(pairs.distinct().join(known, ["a", "b"], "left_anti"), "dedup_pairs")
+        good = compare(new)
+        tried = tried.union(new)
+        if not good.isEmpty():
+            linked = linked.union(good)
+            found = save(components(linked, "dedup_components"), "dedup_found")
+
+    rows = save(placed(held), "dedup_placed")
+    hub_part = rows.where("node = hub").select("key", F.col("part").alias("hub_part"))
+    star = rows.where("node <> hub").join(hub_part, "key").where("part <> hub_part").where(close("info", "hub_info", least))
+    meet(star.select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    tested = held.select("key", F.col("hub").alias("node")).distinct()
+    held, some, more = held.where("members > 2").select("key", "node", "info"), FIRST_ROUND, True
+    while more:
+        rows = placed(held)
+        parts = rows.groupBy("key", "part").count()
+        main = parts.groupBy("key").agg(F.max(F.struct("count", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+        main = save(main.select("key", F.col("main.part").alias("main")), "dedup_main")
+        held = save(checked_join(rows, main, "key", "inner"), "dedup_open")
+        rest = held.where("part <> main").join(tested, ["key", "node"], "left_anti")
+        rest = rest.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("info"), "node"))).where(F.col("turn") <= some + 1)
+        rest = save(rest.select("key", F.col("node").alias("a"), F.col("info").alias("a_info"), F.col("part").alias("a_part"), "turn"), "dedup_turn")
+        # once all outside the largest components have met the other ones, no two components of a bucket are left to meet
+        more, turn = not rest.where(F.col("turn") > some).isEmpty(), rest.where(F.col("turn") <= some)
+        met = held.join(turn, "key").where("part <> a_part").where(close("info", "a_info", least))
+        meet(met.select("a", F.col("node").alias("b")))
+        tested = tested.union(turn.select("key", F.col("a").alias("node")))
+        held, some = held.select("key", "node", "info"), some * 4
+    return found
+
+
+def checker(docs: DataFrame, texts: DataFrame, words: int, least: float, id_col: str, text_col: str) -> Callable[[DataFrame], Callable[[DataFrame], DataFrame]]:
+    """members (node) -> a function that leaves of pairs (a, b) those whose shingle sets are similar."""
+
+    def of(members: DataFrame) -> Callable[[DataFrame], DataFrame]:
+        wanted = checked_join(texts.select("node", "h", "c", F.col("least").alias("id")), members, "node", "left_semi")
+        own = docs.select(F.col(id_col).alias("id"), *identity(text_col), F.col(text_col).alias("text"))
+        got = checked_join(own.where("id is not null"), wanted.where("id is not null"), ["id", "h", "c"], "inner")
+        bare = checked_join(own.where("id is null").drop("id"), wanted.where("id is null").drop("id"), ["h", "c"], "inner")
+        got = got.select("node", "text").union(bare.select("node", "text"))
+        side = save(got.groupBy("node").agg(F.first("text").alias("text")), "dedup_texts")
+
+        def compare(pairs: DataFrame) -> DataFrame:
+            both = pairs.join(side.toDF("b", "tb"), "b").join(side.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
+            return save(both.mapInArrow(_similar(words, least), "a long, b long"), "dedup_links")
+
+        return compare
+
+    return of
+
+
+def _similar(words: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, mine = None, np.zeros(0, np.uint64)  # pairs come in runs of one hub
         for batch in batches:
-            near = [similar(x.as_py(), y.as_py(), least) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(near, pa.bool_()))
+            keep = []
+            for a, ta, tb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                if a != last:
+                    last, mine = a, shingle_set(ta.as_py(), words)
+                keep.append(similar(mine, shingle_set(tb.as_py(), words), least))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def similar(a: bytes, b: bytes, least: float) -> bool:
-    """Whether two sets of shingle hashes have a Jaccard similarity of at least `least`."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    shared = len(np.intersect1d(x, y, assume_unique=True))
-    return shared >= least * (len(x) + len(y) - shared) - 1e-9
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes((text or "").encode(), words))
 
 
-def deduplicate(docs: DataFrame, least: float = 0.8, words: int = 5, dense: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document (the least id) of each group of exact and near copies.
+def similar(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets of shingle hashes have a Jaccard similarity of at least `least`."""
+    if min(len(x), len(y)) < least * max(len(x), len(y)) - 1e-9:
+        return False
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return shared >= least * (len(both) - shared) - 1e-9
 
-    Near copies have `least` similarity or more on shingles of `words` words. Candidates are all pairs that share one of
-    the shingles of their prefixes, which every such pair does; they are verified on their whole sets of shingles (as
-    64-bit hashes). Groups are components of verified links; `dense` is the size from which a bucket is joined by way of
-    one text first, and does not change them.
-    Rows that repeat an id stay together; rows with a null id stay.
-    """
-    spark = docs.sparkSession
-    small_batches(spark)
-    common = common_shingles(docs, words, id_col, text_col)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+def deduplicate(docs: DataFrame, least: float = 0.8, words: int = 5, distance: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each group of exact and near copies: the one with the least id (a null id after all others).
 
-        for batch in batches:
-            for part, texts in slices(batch, text_col):
-                sets = [np.unique(shingle_hashes(t, words)) for t in texts]
-                tokens = [prefix(s, common, least).view(np.int64) for s in sets]
-                same, size = [xxhash.xxh3_128_digest(t or b"") for t in texts], [len(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(same, pa.binary()), pa.array(size, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))], ["id", "same", "size", "tokens"])
-
-    seen = save(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, same binary, size int, tokens array<long>"), "dedup_seen")
-    node = save(seen.groupBy("same").agg(F.min("id").alias("node"), F.count("*").alias("n")), "dedup_exact")
-    # an id that repeats with other texts has a row for each of them
-    texts = seen.join(node.withColumnRenamed("node", "id"), ["same", "id"]).dropDuplicates(["same"])
-    texts = save(texts.select(F.col("id").alias("node"), "n", "size", "tokens"), "dedup_texts")
-    linked = near_links(texts, lambda pairs: verified(pairs, docs, words, least, id_col, text_col), least, dense)
-    group = save(components(linked, "dedup_links"), "dedup_groups")
-    kept = node.join(group, "node", "left").select("same", F.coalesce("component", "node").alias("keep"))
-    drop = save(seen.select("id", "same").join(kept, "same").where("id <> keep").select(F.col("id").alias(id_col)).distinct(), "dedup_drop")
-    return checked_join(docs, drop, id_col, "left_anti")
+    Near copies have `least` similarity or more on sets of shingles of `words` words (as 64-bit hashes). Groups are
+    components of verified links. Golay keys find the pairs within `distance` bits; an exact search by shingles finds the
+    others (see near_components). Rows that repeat both id and text are one document and stay or go together; an id that
+    repeats with other texts is another document for each. Null texts count as empty ones.
+    """
+    small_batches(docs.sparkSession)
+    texts = classes(docs, least, words, id_col, text_col)
+    found = near_components(texts, checker(docs, texts, words, least, id_col, text_col), least, distance)
+    grouped = checked_join(texts.select("node", "h", "c", "least", "n"), found, "node", "left").where("n > 1 or component is not null")
+    grouped = save(grouped.select("node", "h", "c", "least", F.coalesce("component", "node").alias("component")), "dedup_grouped")
+    order = F.struct(F.col("least").isNull(), "least", "node")
+    kept = grouped.groupBy("component").agg(F.min_by("node", order).alias("keep"))
+    grouped = grouped.join(kept, "component").select("h", "c", "least", (F.col("keep") == F.col("node")).alias("stays"))
+    rows = docs.select(F.col(id_col).alias("id"), *identity(text_col))
+    drop = checked_join(rows, save(grouped, "dedup_kept"), ["h", "c"], "inner").where(~F.col("stays") | ~F.col("id").eqNullSafe(F.col("least")))
+    drop = save(drop.select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("c").alias("_c")).distinct(), "dedup_drop")
+    h, c = identity(text_col)
+    on = docs[id_col].eqNullSafe(F.col("_id")) & (h == F.col("_h")) & (c == F.col("_c"))
+    return checked_join(docs, drop, on, "left_anti")
 
 
 def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -128,19 +128,56 @@ def test_deduplicate(spark):
 
 
 def test_deduplicate_dense_buckets(spark):
-    """A bucket's way of being joined changes nothing: chains of edits, where ends are far from the hub, stay one group."""
+    """Chains of edits, whose ends are far from any hub, and two families that share a passage: as by comparing all pairs."""
     r = np.random.default_rng(4)
     rows = []
     for c in range(3):
         t = [f"w{k}" for k in r.integers(0, 5000, 300)]
-        for step in range(40):
-            rows.append((100 * c + step, " ".join(t)))
+        for step in range(120):
+            rows.append((1000 * c + step, " ".join(t)))
             for at in r.integers(0, 300, 3):
                 t[at] = f"x{c}-{step}-{at}"
+    shared = [f"s{k}" for k in range(30)]
+    for c in range(4):
+        t = [f"w{k}" for k in r.integers(0, 5000, 120)]
+        for step in range(45):
+            own = list(t)
+            for at in r.integers(0, 120, 3 + c):
+                own[at] = f"y{c}-{step}-{at}"
+            rows.append((10_000 + 100 * c + step, " ".join(own[:60] + shared + own[60:])))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    full = sorted(x[0] for x in simhash.deduplicate(docs, dense=10**9).select("doc_id").collect())
-    assert full == sorted(x[0] for x in simhash.deduplicate(docs, dense=1).select("doc_id").collect())
-    assert len(full) < 30
+    out = {x[0] for x in simhash.deduplicate(docs).select("doc_id").collect()}
+    assert out == exact_survivors(rows) and len(out) < len(rows) - 200
+
+
+def test_deduplicate_pairs_grow_with_rows(spark, monkeypatch):
+    """One family of near copies, of which half of the pairs are below 0.8: pairs compared grow with the rows, not their square."""
+    def pairs_of(n):
+        r = np.random.default_rng(5)
+        base, rows = [f"w{k}" for k in r.integers(0, 5000, 200)], []
+        for k in range(n):
+            t = list(base)
+            for at in r.choice(200, 5, replace=False):
+                t[at] = f"z{k}-{at}"
+            rows.append((k, " ".join(t)))
+        seen = []
+        kept = simhash.save
+
+        def save(df, name, **options):
+            out = kept(df, name, **options)
+            if name == "dedup_pairs":
+                seen.append(out.count())
+            return out
+
+        monkeypatch.setattr(simhash, "save", save)
+        out = {x[0] for x in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id").collect()}
+        monkeypatch.setattr(simhash, "save", kept)
+        if n <= 150:
+            assert out == exact_survivors(rows)
+        return sum(seen)
+
+    small, large = pairs_of(150), pairs_of(600)
+    assert large < 8 * small and large < 40 * 600
 
 
 def five_words(t):
@@ -183,12 +220,21 @@ def test_deduplicate_equals_exact_similarity(spark):
 
 
 def test_deduplicate_repeated_id(spark):
-    """Every text of an id that repeats counts."""
+    """An id that repeats with other texts is a document for each; no text without a copy goes."""
     r = np.random.default_rng(8)
     a, b = (" ".join(f"w{k}" for k in r.integers(0, 5000, 100)) for _ in range(2))
     for first, second in ((a, b), (b, a)):
         out = simhash.deduplicate(spark.createDataFrame([(1, first), (1, second), (2, f"{a} end"), (3, f"{b} end")], "doc_id long, text string"))
         assert [x[0] for x in out.select("doc_id").collect()] == [1, 1]
+    out = simhash.deduplicate(spark.createDataFrame([(3, a), (5, a), (5, b), (None, a), (None, "own"), (None, f"{b} end")], "doc_id long, text string"))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([(3, a), (5, b), (None, "own")], key=str)
+
+
+def test_deduplicate_text_ids_and_odd_rows(spark, odd):
+    out = simhash.deduplicate(spark.createDataFrame([("b", "x y z"), ("a", "x y z"), ("c", None), ("d", "")], "doc_id string, text string"))
+    assert sorted(x[0] for x in out.select("doc_id").collect()) == ["a", "c"]
+    assert sorted(x[0] for x in simhash.deduplicate(odd).select("doc_id").collect() if x[0] is not None) == [1, 3, 6, 8, 9]
+    assert simhash.deduplicate(odd.limit(0)).count() == 0
 
 
 def test_clashing_names(spark):
