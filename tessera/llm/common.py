@@ -88,13 +88,25 @@ def fold(id_col: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def drawn(rows: DataFrame, label_col: str, id_col: str, each: int) -> DataFrame:
-    """About `each` rows of every label (all of a label that has fewer), chosen by a hash of the id; labels are few."""
+def drawn(rows: DataFrame, label_col: str, key: list[str], each: int) -> DataFrame:
+    """About `each` rows of every label (all of a label that has fewer), chosen by a hash of the columns `key`; labels are few.
+
+    The sample is at most 2 * `each` rows a label.
+    """
     counts = {r[0]: r[1] for r in rows.where(F.col(label_col).isNotNull()).groupBy(label_col).count().collect()}
     if not counts:
         return rows.limit(0)
     odds = F.create_map(*[F.lit(x) for label, n in counts.items() for x in (label, min(1.0, each / n))])
-    return rows.where((F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < odds[F.col(label_col)] * (1 << 20))).orderBy(F.xxhash64(id_col), id_col).limit(2 * each * len(counts))
+    some = rows.where(F.pmod(F.xxhash64(*key), F.lit(1 << 20)) < odds[F.col(label_col)] * (1 << 20))
+    return some.orderBy(F.xxhash64(*key), *key).limit(2 * each * len(counts))
+
+
+def excerpt(text: Column, most_bytes: int, parts: int = 8) -> Column:
+    """The whole text up to `most_bytes` bytes; of a longer one, windows of that size together, spread evenly over it."""
+    size = most_bytes // (4 * parts)  # a character has at most four bytes
+    step = (F.length(text) - size).cast("double") / (parts - 1)
+    windows = [F.substr(text, F.floor(step * k).cast("int") + 1, F.lit(size)) for k in range(parts)]
+    return F.when(F.octet_length(text) <= most_bytes, text).otherwise(F.concat_ws(" ", *windows))
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:

@@ -173,6 +173,7 @@ def near_groups(docs: DataFrame, width: int = 3, distance: int = 3, id_col: str
 SAMPLE_TEXTS, SAMPLE_SHARE, COMMON = 20_000, 1 / 64, 200_000
 #: Bits of a text's priority, size and place in one long, so that an indexed shingle is three longs.
 SIZE_BITS, PLACE_BITS, TIMES_BITS = 26, 24, 13
+PARITIES = 1024
 #: Texts of a bucket that meet the whole bucket in the first round after the hub's; later rounds take four times as many.
 FIRST_ROUND = 32
 
@@ -223,8 +224,14 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: f
     return first[~known], first[known]
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """PARITIES bits, each the parity of the number of shingles that fall on it: two sets differ in at least as many shingles as bits."""
+    odd = np.bincount((shingles >> np.uint64(17)).astype(np.int64) & (PARITIES - 1), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
 def classes(docs: DataFrame, least: float, words: int, id_col: str, text_col: str) -> DataFrame:
-    """One row a distinct text: node, h, c, least id, info (how often it is there, shingles), fp, prefix shingles."""
+    """One row a distinct text: node, h, c, least id, info (how often it is there, shingles), fp, prefix shingles, parities."""
     common = common_shingles(docs, words, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,23 +242,27 @@ def classes(docs: DataFrame, least: float, words: int, id_col: str, text_col: st
                 sets = [np.unique(h) for h in hashes]
                 rare, hot = zip(*(prefix(s, common, least) for s in sets), strict=True)
                 lists = [pa.array([x.view(np.int64) for x in side], pa.list_(pa.int64())) for side in (rare, hot)]
+                lists.append(pa.array([parities(s) for s in sets], pa.list_(pa.int64())))
                 sizes = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], sizes, pa.array(fps), *lists], ["id", "h", "c", "size", "fp", "rare", "hot"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], sizes, pa.array(fps), *lists], ["id", "h", "c", "size", "fp", "rare", "hot", "bits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), *identity(text_col), text_col)
-    seen = texts.mapInArrow(run, f"id {kind}, h long, c long, size long, fp long, rare array<long>, hot array<long>")
-    one = seen.groupBy("h", "c").agg(F.min("id").alias("least"), F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("size", "fp", "rare", "hot")])
+    seen = texts.mapInArrow(run, f"id {kind}, h long, c long, size long, fp long, rare array<long>, hot array<long>, bits array<long>")
+    one = seen.groupBy("h", "c").agg(F.min("id").alias("least"), F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("size", "fp", "rare", "hot", "bits")])
     times = F.least("n", F.lit((1 << TIMES_BITS) - 1))
     info = F.shiftleft(times, SIZE_BITS + PLACE_BITS).bitwiseOR(F.shiftleft("size", PLACE_BITS))
-    return save(one.select(F.monotonically_increasing_id().alias("node"), "h", "c", "least", "n", info.alias("info"), "fp", "rare", "hot"), "dedup_classes")
+    return save(one.select(F.monotonically_increasing_id().alias("node"), "h", "c", "least", "n", info.alias("info"), "fp", "rare", "hot", "bits"), "dedup_classes")
+
+
+def shingles_of(info: str) -> Column:
+    return F.shiftrightunsigned(info, PLACE_BITS).bitwiseAND((1 << SIZE_BITS) - 1)
 
 
 def close(x: str, y: str, least: float) -> Column:
     """Whether two sets that share a shingle at their places can still be similar: it and all behind it bound the overlap."""
-    size = lambda c: F.shiftrightunsigned(c, PLACE_BITS).bitwiseAND((1 << SIZE_BITS) - 1)
-    rest = lambda c: size(c) - F.col(c).bitwiseAND((1 << PLACE_BITS) - 1)
-    return F.least(rest(x), rest(y)) >= (size(x) + size(y)) * (least / (1 + least)) - 1e-6
+    rest = lambda c: shingles_of(c) - F.col(c).bitwiseAND((1 << PLACE_BITS) - 1)
+    return F.least(rest(x), rest(y)) >= (shingles_of(x) + shingles_of(y)) * (least / (1 + least)) - 1e-6
 
 
 def buckets(texts: DataFrame) -> DataFrame:
@@ -288,8 +299,8 @@ def golay_stars(texts: DataFrame, distance: int) -> DataFrame:
     return same.union(across.select("a", F.col("hub").alias("b")))
 
 
-def near_components(texts: DataFrame, check: Callable[[DataFrame], DataFrame], least: float, distance: int = 3) -> DataFrame:
-    """Texts of `classes` -> (node, component) of those with a link of at least `least` similarity.
+def near_components(texts: DataFrame, compare: Callable[[DataFrame], DataFrame], least: float, distance: int = 3) -> DataFrame:
+    """Texts of `classes` -> (node, component) of those with a link of at least `least` similarity; `compare` leaves such pairs.
 
     First come pairs whose fingerprints meet by Golay keys. The similarity asked for reaches far beyond the bits that the
     code decodes, so all pairs that share a shingle of their prefixes follow, which every similar pair does: each bucket's
@@ -298,8 +309,7 @@ def near_components(texts: DataFrame, check: Callable[[DataFrame], DataFrame], l
     """
     held = buckets(texts)
     members = save(held.select("node").distinct(), "dedup_members")
-    compare, count = check(members), members.count()
-    tried = save(golay_stars(checked_join(texts, members, "node", "left_semi", count), distance), "dedup_pairs")
+    tried = save(golay_stars(checked_join(texts, members, "node", "left_semi"), distance), "dedup_pairs")
     linked = compare(tried)
     found = save(components(linked, "dedup_components"), "dedup_found")
 
@@ -317,12 +327,18 @@ def near_components(texts: DataFrame, check: Callable[[DataFrame], DataFrame], l
             linked = linked.union(good)
             found = save(components(linked, "dedup_components"), "dedup_found")
 
-    rows = save(placed(held), "dedup_placed")
-    hub_part = rows.where("node = hub").select("key", F.col("part").alias("hub_part"))
-    star = rows.where("node <> hub").join(hub_part, "key").where("part <> hub_part").where(close("info", "hub_info", least))
+    def apart(rows: DataFrame) -> DataFrame:
+        """Rows of texts that are in another component than their bucket's hub."""
+        other = found.select(F.col("node").alias("hub"), F.col("component").alias("_hub_part"))
+        return checked_join(placed(rows), other, "hub", "left").where(F.col("part") != F.coalesce("_hub_part", "hub"))
+
+    star = apart(held.where("node <> hub")).where(close("info", "hub_info", least))
     meet(star.select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    held = held.where("members > 2")
+    open_ = save(apart(held).select("key").distinct(), "dedup_keys")
+    held = save(checked_join(held, open_, "key", "left_semi"), "dedup_open")
     tested = held.select("key", F.col("hub").alias("node")).distinct()
-    held, some, more = held.where("members > 2").select("key", "node", "info"), FIRST_ROUND, True
+    held, some, more = held.select("key", "node", "info"), FIRST_ROUND, True
     while more:
         rows = placed(held)
         parts = rows.groupBy("key", "part").count()
@@ -341,24 +357,33 @@ def near_components(texts: DataFrame, check: Callable[[DataFrame], DataFrame], l
     return found
 
 
-def checker(docs: DataFrame, texts: DataFrame, words: int, least: float, id_col: str, text_col: str) -> Callable[[DataFrame], Callable[[DataFrame], DataFrame]]:
-    """members (node) -> a function that leaves of pairs (a, b) those whose shingle sets are similar."""
+def comparer(docs: DataFrame, texts: DataFrame, words: int, least: float, id_col: str, text_col: str) -> Callable[[DataFrame], DataFrame]:
+    """A function that leaves of pairs (a, b) of nodes those whose shingle sets are similar.
 
-    def of(members: DataFrame) -> Callable[[DataFrame], DataFrame]:
-        wanted = checked_join(texts.select("node", "h", "c", F.col("least").alias("id")), members, "node", "left_semi")
-        own = docs.select(F.col(id_col).alias("id"), *identity(text_col), F.col(text_col).alias("text"))
-        got = checked_join(own.where("id is not null"), wanted.where("id is not null"), ["id", "h", "c"], "inner")
-        bare = checked_join(own.where("id is null").drop("id"), wanted.where("id is null").drop("id"), ["h", "c"], "inner")
-        got = got.select("node", "text").union(bare.select("node", "text"))
-        side = save(got.groupBy("node").agg(F.first("text").alias("text")), "dedup_texts")
-
-        def compare(pairs: DataFrame) -> DataFrame:
-            both = pairs.join(side.toDF("b", "tb"), "b").join(side.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
-            return save(both.mapInArrow(_similar(words, least), "a long, b long"), "dedup_links")
-
-        return compare
-
-    return of
+    Pairs whose parities already differ in more shingles than similar sets can go first; the others' whole texts are read.
+    """
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *identity(text_col))
+    known = texts.select("node", F.col("h").alias("_h"), F.col("c").alias("_c"), F.col("least").alias("id"))
+    light = texts.select("node", shingles_of("info").alias("n"), "bits")
+
+    def whole(nodes: DataFrame) -> DataFrame:
+        wanted = checked_join(known, nodes, "node", "left_semi")
+        got = checked_join(own.where("id is not null"), save(wanted.where("id is not null"), "dedup_wanted"), "id", "inner")
+        bare = checked_join(own.where("id is null").drop("id"), wanted.where("id is null").drop("id"), (F.col("h") == F.col("_h")) & (F.col("c") == F.col("_c")), "inner")
+        got = got.where("h = _h and c = _c").select("node", "text").union(bare.select("node", "text"))
+        return save(got.groupBy("node").agg(F.first("text").alias("text")), "dedup_texts")
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        few = save(checked_join(light, nodes, "node", "left_semi"), "dedup_light")
+        both = pairs.join(few.toDF("a", "na", "bits_a"), "a").join(few.toDF("b", "nb", "bits_b"), "b")
+        apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        left = save(both.where(apart <= (F.col("na") + F.col("nb")) * ((1 - least) / (1 + least)) + 1e-6).select("a", "b"), "dedup_left")
+        side = whole(left.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        both = left.join(side.toDF("b", "tb"), "b").join(side.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
+        return save(both.mapInArrow(_similar(words, least), "a long, b long"), "dedup_links")
+
+    return compare
 
 
 def _similar(words: int, least: float):
@@ -399,7 +424,7 @@ def deduplicate(docs: DataFrame, least: float = 0.8, words: int = 5, distance: i
     """
     small_batches(docs.sparkSession)
     texts = classes(docs, least, words, id_col, text_col)
-    found = near_components(texts, checker(docs, texts, words, least, id_col, text_col), least, distance)
+    found = near_components(texts, comparer(docs, texts, words, least, id_col, text_col), least, distance)
     grouped = checked_join(texts.select("node", "h", "c", "least", "n"), found, "node", "left").where("n > 1 or component is not null")
     grouped = save(grouped.select("node", "h", "c", "least", F.coalesce("component", "node").alias("component")), "dedup_grouped")
     order = F.struct(F.col("least").isNull(), "least", "node")
