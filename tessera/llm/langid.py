@@ -1,14 +1,14 @@
 """Language identification by averaged hashed subword embeddings and a linear softmax.
 
-A text is lower-cased; letters keep their UTF-8 bytes and all else becomes a space. Every 2-, 3- and 4-byte window hashes
-to one of 2^17 embeddings; their mean goes through a linear softmax. Embeddings and softmax are trained by stochastic
+A text is lower-cased; ASCII letters and all bytes of other characters stay and all else becomes a space. Every 2-, 3- and
+4-byte window of a text (none reaches into its neighbour) hashes to one of 2^17 embeddings; their mean goes through a linear softmax. Embeddings and softmax are trained by stochastic
 gradient descent in numpy on a bounded sample (`each` documents a language of at most `most_bytes` bytes). A fifth of the
 sample calibrates: a temperature that minimises its log loss, and the least score above which at most `errors` of its
 rows are wrong; rows below are marked not accepted, the best language is still named. As mean and softmax are linear up
 to the end, embeddings are multiplied by the softmax weights once, and a text's logits are means of table rows.
 
-Cases: null text or one without a letter is `und` with score 0; whole texts count, in pieces if very long; equal texts
-get equal answers; without any labelled row all are `und`; an empty table gives an empty result; other columns stay out.
+Cases: null text or one without a letter (Unicode category L) is `und` with score 0; whole texts count, in pieces if very
+long; equal texts get equal answers, whatever stands beside them; without any labelled row all are `und`; an empty table gives an empty result; other columns stay out.
 """
 
 from __future__ import annotations
@@ -18,17 +18,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drawn, fold, slices, small_batches, table
+from .common import drawn, excerpt, fold, slices, small_batches, table
 
 BUCKETS = 1 << 17
-LETTER = re.compile(r"[^\W\d_]")
+ASCII_LETTER, LETTER = re.compile("[A-Za-z]"), regex.compile(r"\p{L}")
 KEEP = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 PIECE = 1 << 20
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and bool(ASCII_LETTER.search(text) or LETTER.search(text))
+
+
 def stream(text: str) -> bytes:
     return b" " + text.lower().encode().translate(KEEP) + b"   "
 
@@ -53,7 +58,7 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool]]:
         out: list[tuple[str, float, bool]] = [("und", 0.0, False)] * len(texts)
-        todo = [(i, stream(t)) for i, t in enumerate(texts) if t and self.langs and LETTER.search(t)]
+        todo = [(i, stream(t)) for i, t in enumerate(texts) if self.langs and has_letter(t)]
         logits = np.zeros((len(texts), len(self.langs)))
         size = np.zeros(len(texts))
         at = 0
@@ -71,12 +76,15 @@ class Model:
                 value = self.rows[h2]
                 value += self.rows[h3]
                 value += self.rows[h4]
+                for back in (1, 2, 3):  # windows that begin here would reach beyond their text
+                    last = starts[1:] - back - lo
+                    value[last[(last >= 0) & (last < len(value))]] = 0
                 inside = np.flatnonzero((starts[:-1] < lo + len(value)) & (starts[1:] > lo))
                 sums = np.add.reduceat(value, np.maximum(starts[inside] - lo, 0), axis=0, dtype=np.float64)
                 for j, s in zip(inside, sums, strict=True):
                     logits[group[j][0]] += s
-            for j, (i, s) in enumerate(group):
-                size[i] = 3.0 * (len(s) - 3 * (j == len(group) - 1))
+            for i, s in group:
+                size[i] = 3.0 * (len(s) - 3)
         for i, _ in todo:
             p = softmax((logits[i] / size[i] + self.bias) / self.heat)
             k = int(p.argmax())
@@ -86,7 +94,7 @@ class Model:
 
 def train(samples: list[tuple[str, str]], dim: int = 16, epochs: int = 4, rate: float = 4.0, errors: float = 0.01, seed: int = 5) -> Model:
     """samples: (text, lang)."""
-    samples = [(t, lang) for t, lang in samples if LETTER.search(t or "")]
+    samples = [(t, lang) for t, lang in samples if has_letter(t)]
     langs = sorted({lang for _, lang in samples})
     if not samples:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
@@ -131,9 +139,9 @@ def train(samples: list[tuple[str, str]], dim: int = 16, epochs: int = 4, rate:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", each: int = 500, most_bytes: int = 20_000, **options) -> Model:
-    """Train on a sample of `each` rows a language, texts of at most `most_bytes` bytes."""
-    rows = docs.where(F.col(lang_col).isNotNull() & (F.octet_length(text_col) <= most_bytes)).select(id_col, text_col, lang_col)
-    got = drawn(rows, lang_col, id_col, each).select(text_col, lang_col).collect()
+    """Train on a sample of about `each` rows a language; of a text over `most_bytes` bytes, windows spread over it."""
+    rows = docs.where(F.col(lang_col).isNotNull()).select(id_col, text_col, lang_col)
+    got = drawn(rows, lang_col, [id_col, text_col], each).select(excerpt(F.col(text_col), most_bytes), lang_col).collect()
     return train([(r[0], r[1]) for r in got], **options)
 
 
