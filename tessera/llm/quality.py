@@ -3,8 +3,8 @@
 Bytes are embedded; filters 8 bytes wide slide over the text in steps of 4. Chunks of 256 bytes overlap by half and cover
 the whole document; each filter's greatest response in a chunk (after a rectifier) is the chunk's feature. A document's
 mean and greatest chunk features go through a small dense layer to one probability. All weights are learned by
-back-propagation (Adam) on a bounded sample (`each` labelled documents a class, of at most `most_bytes` bytes), and the
-last bias is moved from the sample's class shares to those of all labelled rows.
+back-propagation (Adam) on a bounded sample (about `each` labelled documents a class, of a text over `most_bytes` bytes
+windows spread evenly over it), and the last bias is moved from the sample's class shares to those of all labelled rows.
 
 Cases: null or empty text is scored as one chunk of zero bytes; a very long text is convolved in sections; equal texts
 get equal scores; without labelled rows of both classes every score is the share of label 1 (0.5 without any); labels
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import drawn, fold, slices, small_batches, table
+from .common import drawn, excerpt, fold, slices, small_batches, table
 
 STEP, DIM, FILTERS, HIDDEN = 4, 8, 32, 16
 PAIR = 128  # bytes of half a chunk
@@ -94,7 +94,9 @@ class Net:
         dd = dh @ w["h"].T
         n = np.diff(starts)
         owner = np.repeat(np.arange(len(y)), n)
-        dc = dd[owner, :FILTERS] / n[owner, None] + dd[owner, FILTERS:] * (chunk == doc[owner, FILTERS:]) / n[owner, None].clip(max=4)
+        top = (chunk == doc[owner, FILTERS:]).astype(np.float32)  # equal greatest chunks share the gradient
+        top /= np.add.reduceat(top, starts[:-1], axis=0)[owner]
+        dc = dd[owner, :FILTERS] / n[owner, None] + dd[owner, FILTERS:] * top
         dc *= chunk > 0
         g["c"] = dc.sum(axis=0)
         dp = np.where(from_later, 0, dc)
@@ -136,12 +138,15 @@ def train(samples: list[tuple[bytes, int]], shares: tuple[float, float] | None =
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", each: int = 700, most_bytes: int = 16_000, **options) -> Net:
-    """Train on about `each` labelled documents a class, texts of at most `most_bytes` bytes."""
-    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.min(label_col).alias("_label"))
+    """Train on about `each` labelled documents a class; of a text over `most_bytes` bytes, windows spread over it."""
+    known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.min(label_col).cast("int").alias("_label"))
+    known = known.join(docs.select(id_col).distinct(), id_col, "left_semi")
     count = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}
-    picked = drawn(known, "_label", id_col, each)  # bounded: 4 * each rows at most
-    rows = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).where(F.octet_length(text_col) <= most_bytes)
-    got = sorted(((r[0], r[1] or "", r[2]) for r in rows.select(id_col, text_col, "_label").collect()), key=str)
+    picked = drawn(known, "_label", [id_col], each)  # bounded: 4 * each rows at most
+    rows = docs.select(id_col, text_col).join(F.broadcast(picked), id_col)
+    rows = rows.select(id_col, "_label", excerpt(F.col(text_col), most_bytes).alias("_text"))
+    got = rows.groupBy(id_col, "_label").agg(F.min("_text")).select(id_col, "min(_text)", "_label").collect()  # an id counts once
+    got = sorted(((r[0], r[1] or "", r[2]) for r in got), key=str)
     total = sum(count.values()) or 1
     shares = (count.get(0, 0) / total, count.get(1, 0) / total)
     return train([(t.encode(), k) for _, t, k in got], shares if all(shares) else None, **options)
