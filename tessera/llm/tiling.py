@@ -15,6 +15,7 @@ carried; an empty table on either side gives an empty result; other columns are
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,8 +92,18 @@ def _scan(text: np.ndarray, item: np.ndarray, text_used: np.ndarray, item_used:
     return out
 
 
+def _free(n: int, i: int, t: int, item_used: np.ndarray, text_used: np.ndarray) -> list[tuple[int, int, int]]:
+    """The unmarked parts of a match, as matches."""
+    edge = np.diff(np.concatenate(([1], (item_used[i : i + n] | text_used[t : t + n]) != 0, [1])).astype(np.int8))
+    return [(int(b - a), i + int(a), t + int(a)) for a, b in zip(np.flatnonzero(edge == -1), np.flatnonzero(edge == 1), strict=True)]
+
+
 def tile(text: np.ndarray, item: np.ndarray, least: int, start: int = 20) -> list[tuple[int, int, int]]:
-    """Greedy string tiling: (length, item place, text place) of non-overlapping matches, longest first."""
+    """Greedy string tiling: (length, item place, text place) of non-overlapping matches.
+
+    Each tile is the longest match of unmarked words at its time, of equally long ones the first in the item, then in the
+    text. Matches wait in a heap by length; one that a tile cut short goes back as its unmarked parts.
+    """
     text_used, item_used = np.zeros(len(text), np.int64), np.zeros(len(item), np.int64)
     out: list[tuple[int, int, int]] = []
     s = max(least, min(start, len(item)))
@@ -102,12 +113,18 @@ def tile(text: np.ndarray, item: np.ndarray, least: int, start: int = 20) -> lis
         if longest > 2 * s:
             s = longest
             continue
-        for n, i, t in sorted(found, key=lambda x: (-x[0], x[1], x[2])):
-            if not item_used[i : i + n].any() and not text_used[t : t + n].any():
-                item_used[i : i + n] = text_used[t : t + n] = 1
-                out.append((n, i, t))
-        if found:  # what a longer tile cut short may still be long enough
-            continue
+        heap = [(-n, i, t) for n, i, t in found]
+        heapq.heapify(heap)
+        while heap:
+            n, i, t = heapq.heappop(heap)
+            parts = _free(-n, i, t, item_used, text_used)
+            if parts == [(-n, i, t)]:
+                item_used[i : i - n] = text_used[t : t - n] = 1
+                out.append((-n, i, t))
+            else:
+                for part in parts:
+                    if part[0] >= s:
+                        heapq.heappush(heap, (-part[0], *part[1:]))
         if s == least:
             break
         s = max(least, s // 2)
