@@ -1,7 +1,9 @@
 """MPEG audio media columns: frames, tags, variable-bitrate tables, checksums, durations and seek offsets.
 
 `parse` walks the frames of MPEG-1/2/2.5 layers I-III, reads ID3v2 and ID3v1 tags and the Xing/Info/VBRI table, checks the
-Layer III checksum (header and side information), and finds the next pair of agreeing headers where a header is broken.
+checksums (Layer I: header and bit allocation; Layer II: also the scale factor selection; Layer III: header and side
+information), and finds the next pair of agreeing headers where a header is broken. Frames of a free bitrate have the
+length that the distance of the first two tells.
 `pack` stores bytes losslessly as an MPEG-1 Layer III mono stream at 32 kHz: silent granules whose ancillary data carry
 the payload in units of 192 bytes, each frame at the least bitrate that holds its units, behind an ID3v2 tag and a Xing
 frame with frame count, byte count and a 100-entry seek table.
@@ -16,7 +18,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,22 +41,59 @@ UNIT = 192
 UNITS = 7  # most in a frame
 
 
-@cache
-def header(word: int) -> tuple | None:
-    """(version bits, layer, has checksum, rate, frame bytes, samples, side bytes, mono) of a 32-bit header, or None."""
+# Fixed values of the standard: Layer II, bits of each subband's allocation for the five tables (a to d, and the lower rates).
+ALLOCATION = {
+    "a": (4,) * 11 + (3,) * 12 + (2,) * 4,
+    "b": (4,) * 11 + (3,) * 12 + (2,) * 7,
+    "c": (4,) * 2 + (3,) * 6,
+    "d": (4,) * 2 + (3,) * 10,
+    "low": (4,) * 4 + (3,) * 7 + (2,) * 19,
+}
+
+
+@lru_cache(maxsize=4096)
+def header(word: int, free: int = 0) -> tuple | None:
+    """(version bits, layer, has checksum, rate, frame bytes, samples, side bytes, mono) of a 32-bit header, or None.
+
+    `free`: bytes of an unpadded frame of a free bitrate, where known; without it such a frame is none.
+    """
     version, layer = word >> 19 & 3, 4 - (word >> 17 & 3)
     rate, bits = word >> 10 & 3, word >> 12 & 15
-    if word >> 21 != 0x7FF or version == 1 or layer == 4 or rate == 3 or bits in (0, 15) or word & 3 == 2:
+    if word >> 21 != 0x7FF or version == 1 or layer == 4 or rate == 3 or bits == 15 or bits == 0 and not free or word & 3 == 2:
         return None
     one, hz = version == 3, RATES[version][rate]
-    kbit, pad, mono = BITRATES[one, layer][bits - 1], word >> 9 & 1, word >> 6 & 3 == 3
+    pad, mono = word >> 9 & 1, word >> 6 & 3 == 3
+    if bits == 0:
+        size, samples = free + pad * (4 if layer == 1 else 1), 384 if layer == 1 else 576 if layer == 3 and not one else 1152
+        return version, layer, not word >> 16 & 1, hz, size, samples, side_bytes(layer, one, mono), mono
+    kbit = BITRATES[one, layer][bits - 1]
     if layer == 1:
         size, samples = (12 * kbit * 1000 // hz + pad) * 4, 384
     else:
         samples = 576 if layer == 3 and not one else 1152
         size = samples // 8 * kbit * 1000 // hz + pad
-    side = ((17 if mono else 32) if one else (9 if mono else 17)) if layer == 3 else 0
-    return version, layer, not word >> 16 & 1, hz, size, samples, side, mono
+    return version, layer, not word >> 16 & 1, hz, size, samples, side_bytes(layer, one, mono), mono
+
+
+def side_bytes(layer: int, one: bool, mono: bool) -> int:
+    return ((17 if mono else 32) if one else (9 if mono else 17)) if layer == 3 else 0
+
+
+def free_size(media: bytes, at: int, end: int) -> int:
+    """Bytes of an unpadded frame of a free bitrate: up to the next header that agrees and is followed by another; else 0."""
+    word = int.from_bytes(media[at : at + 4], "big")
+    if header(word, 1) is None or word >> 12 & 15:
+        return 0
+    fixed, unit = 0xFFFE0C00 | 0xF000, 4 if 4 - (word >> 17 & 3) == 1 else 1
+    after = at + 4
+    while (after := media.find(b"\xff", after, end)) >= 0 and after + 4 <= end:
+        if int.from_bytes(media[after : after + 4], "big") & fixed == word & fixed:
+            size = after - at - (word >> 9 & 1) * unit
+            following = after + header(int.from_bytes(media[after : after + 4], "big"), size)[4]
+            if following == end or following + 4 <= end and int.from_bytes(media[following : following + 4], "big") & fixed == word & fixed:
+                return size
+        after += 1
+    return 0
 
 
 def _crc_table() -> list[int]:
@@ -70,14 +109,53 @@ def _crc_table() -> list[int]:
 CRC = _crc_table()
 
 
-@cache
-def crc16(data: bytes) -> int:
-    c = 0xFFFF
-    for b in data:
+@lru_cache(maxsize=4096)
+def crc16(data: bytes, bits: int = 0) -> int:
+    """Checksum of whole bytes, or of the first `bits` bits."""
+    c, whole = 0xFFFF, bits // 8 if bits else len(data)
+    for b in data[:whole]:
         c = (c << 8 & 0xFFFF) ^ CRC[c >> 8 ^ b]
+    for k in range(bits % 8 if bits else 0):
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if (c >> 15 ^ data[whole] >> (7 - k)) & 1 else 0)
     return c
 
 
+def allocation(word: int, hz: int, one: bool, channels: int) -> tuple[int, ...]:
+    """Layer II: bits of each subband's allocation, by bitrate a channel and sampling rate."""
+    index = word >> 12 & 15
+    each = BITRATES[one, 2][index - 1] // channels if index else 0
+    if not one:
+        return ALLOCATION["low"]
+    if index == 0:  # a free bitrate has the widest table of its rate
+        return ALLOCATION["a" if hz == 48000 else "b"]
+    if hz == 48000 and each >= 56 or 56 <= each <= 80:
+        return ALLOCATION["a"]
+    if hz != 48000 and each >= 96:
+        return ALLOCATION["b"]
+    return ALLOCATION["c" if hz != 32000 and each <= 48 else "d"]
+
+
+def protected_bits(media: bytes, at: int, word: int, h: tuple) -> int:
+    """Bits behind the checksum that it covers: side information, bit allocation, scale factor selection."""
+    version, layer, _, hz, size, _, side, mono = h
+    if layer == 3:
+        return side * 8
+    channels, joint = 1 if mono else 2, word >> 6 & 3 == 1
+    bound = 4 + 4 * (word >> 4 & 3) if joint else 32
+    if layer == 1:
+        return 4 * (channels * min(bound, 32) + 32 - min(bound, 32)) if not mono else 128
+    widths = allocation(word, hz, version == 3, channels)
+    body, place, chosen = int.from_bytes(media[at + 6 : at + size], "big"), (size - 6) * 8, 0
+    for band, width in enumerate(widths):
+        for _ in range(channels if band < bound else 1):
+            place -= width
+            if place < 0:
+                return -1
+            if body >> place & (1 << width) - 1:
+                chosen += channels if band >= bound else 1
+    return (size - 6) * 8 - place + 2 * chosen
+
+
 def synchsafe(n: int) -> bytes:
     return bytes(n >> s & 127 for s in (21, 14, 7, 0))
 
@@ -130,16 +208,16 @@ def read_vbr(media: bytes, at: int, size: int, side: int, checked: bool) -> dict
     return None
 
 
-def resync(media: bytes, at: int, end: int, like: tuple | None) -> int:
+def resync(media: bytes, at: int, end: int, like: tuple | None, free: int = 0) -> int:
     """Next offset from `at` whose header fits the stream and is followed by another fitting header or the end."""
     same = lambda a, b: a[:2] == b[:2] and a[3] == b[3]
     while (at := media.find(b"\xff", at, end)) >= 0 and at + 4 <= end:
-        h = header(int.from_bytes(media[at : at + 4], "big"))
+        h = header(int.from_bytes(media[at : at + 4], "big"), free)
         if h and (like is None or same(h, like)) and at + h[4] <= end:
             after = at + h[4]
             if after == end:
                 return at
-            n = header(int.from_bytes(media[after : after + 4], "big")) if after + 4 <= end else None
+            n = header(int.from_bytes(media[after : after + 4], "big"), free) if after + 4 <= end else None
             if n and same(n, h):
                 return at
         at += 1
@@ -150,11 +228,12 @@ def parse(media: bytes) -> dict:
     """tags, vbr, rate, samples, offsets (audio frames), sizes, sides, crc_ok, crc_bad, resyncs, skipped, layer, version."""
     tags, at, end = read_tags(media)
     out = {"tags": tags, "vbr": None, "rate": 0, "samples": 0, "offsets": [], "sizes": [], "heads": [], "crc_ok": 0, "crc_bad": 0, "resyncs": 0, "skipped": 0, "layer": 0, "version": 0}
-    like, first = None, True
+    like, first, free = None, True, free_size(media, at, end)
     while at + 4 <= end:
-        h = header(int.from_bytes(media[at : at + 4], "big"))
+        word = int.from_bytes(media[at : at + 4], "big")
+        h = header(word, free)
         if h is None or at + h[4] > end or like is not None and (h[:2] != like[:2] or h[3] != like[3]):
-            found = resync(media, at + 1, end, like)
+            found = resync(media, at + 1, end, like, free)
             out["resyncs"] += 1
             out["skipped"] += (found if found >= 0 else end) - at
             if found < 0:
@@ -169,8 +248,10 @@ def parse(media: bytes) -> dict:
                 out["vbr"] = vbr
                 at += size
                 continue
-        if checked and layer == 3:
-            good = crc16(media[at + 2 : at + 4] + media[at + 6 : at + 6 + side]) == int.from_bytes(media[at + 4 : at + 6], "big")
+        if checked:
+            bits = protected_bits(media, at, word, h)
+            covered = media[at + 2 : at + 4] + media[at + 6 : at + 6 + (bits + 7) // 8]
+            good = 0 <= bits <= (size - 6) * 8 and crc16(covered, 16 + bits) == int.from_bytes(media[at + 4 : at + 6], "big")
             out["crc_ok" if good else "crc_bad"] += 1
         out["offsets"].append(at)
         out["sizes"].append(size)
