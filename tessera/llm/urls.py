@@ -1,20 +1,20 @@
 """URL filter by a path-template tree with smoothed labelled purity (DataFrame functions only).
 
 Per host, path segments form a tree. Level by level, a child segment stays literal if it has enough rows of its own and
-a fixed share of its parent's rows (so a node has at most 1 / share literal children); all others become `*`, and what
-lies below the last level becomes `**`. Sibling templates that differ in their first segment and whose labelled block
-rates do not differ significantly (two-proportion z test) are merged. A template is rejected if the smoothed share of
-blocked rows among its labelled rows reaches `reject_at`; the labels are the verdicts of the listed rules.
+a fixed share of its parent's rows (so a node has at most 1 / share literal children); all others become `*`. The tree is
+as deep as the longest path, up to LEVELS; what lies below is `**`. Then, from the deepest level up, sibling templates (that
+differ at one level only) whose labelled block rates do not differ significantly from the others' (two-proportion z test)
+are merged to one branch, `~`, which pools their labels and takes part in the merges above. A template is rejected if the
+smoothed share of blocked rows among its labelled rows reaches `reject_at`; the labels are the verdicts of the listed rules.
 
 Cases: a null url or one without `://` has empty host and path and belongs to the template of its own empty host; a
 path without segments has the template of the host's root; equal urls get equal verdicts; an empty table gives an empty
-result; other columns are ignored. Without labelled rows a template keeps the prior and is allowed.
+result; other columns are ignored. Templates with fewer labelled rows than `least_labels` are not merged; without labelled
+rows a template keeps the prior and is allowed.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +29,7 @@ RULES = (
     ("block", "org", "/es/"),
 )
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-LEVELS = 3
+LEVELS = 8
 
 
 def parsed(url: Column) -> tuple[Column, Column]:
@@ -51,40 +51,57 @@ def ruled(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def templates(rows: DataFrame, least_rows: int = 10, share: float = 0.05) -> DataFrame:
-    """rows(host, segs, ...) -> + t1..tn: each level literal, `*`, or null below the path's end; deep: `**` or ''."""
+def literal(rows: DataFrame, have: list[str], least_rows: int, share: float) -> DataFrame:
+    """rows(host, .., _seg) -> the (have.., _seg) that stay literal."""
+    kids = rows.where("_seg is not null").groupBy(*have, "_seg").agg(F.count("*").alias("_n"))
+    # a node's rows: summed over its literal and other children after pre-aggregation
+    whole = kids.groupBy(*have).agg(F.sum("_n").alias("_all"))
+    kept = kids.where(F.col("_n") >= least_rows).join(whole.where(F.col("_all") >= least_rows), [*have], "inner")
+    kept = kept.where(F.col("_n") >= share * F.col("_all"))
+    return save(kept.select(*have, "_seg", F.lit(True).alias("_literal")), "urls_literal")
+
+
+def templates(rows: DataFrame, depth: int, least_rows: int = 10, share: float = 0.05) -> DataFrame:
+    """rows(host, segs, ...) -> + t1..t<depth>: each level literal, `*`, or empty below the path's end; deep: `**` or ''."""
     have: list[str] = ["host"]
-    for k in range(1, LEVELS + 1):
-        seg = F.get("segs", F.lit(k - 1))
-        rows = rows.withColumn("_seg", seg)
-        kids = rows.where("_seg is not null").groupBy(*have, "_seg").agg(F.count("*").alias("_n"))
-        # a node's rows: summed over its literal and other children after pre-aggregation
-        whole = kids.groupBy(*have).agg(F.sum("_n").alias("_all"))
-        kept = kids.where(F.col("_n") >= least_rows).join(whole.where(F.col("_all") >= least_rows), [*have], "inner")
-        kept = save(kept.where(F.col("_n") >= share * F.col("_all")).select(*have, "_seg", F.lit(True).alias("_literal")), "urls_literal")
-        rows = checked_join(rows, kept, [*have, "_seg"], "left")
-        name = f"t{k}"
-        rows = rows.withColumn(name, F.when(F.col("_seg").isNull(), F.lit("")).when(F.col("_literal"), F.concat(F.lit("/"), F.col("_seg"))).otherwise(F.lit("/*"))).drop("_seg", "_literal")
-        have.append(name)
-    return rows.withColumn("deep", F.when(F.size("segs") > LEVELS, F.lit("/**")).otherwise(F.lit("")))
-
-
-def verdicts(rows: DataFrame, prior: float = 0.1, strength: float = 2.0, reject_at: float = 0.8, z: float = 1.96, least_labels: int = 5) -> DataFrame:
-    """rows(host, t1.., deep, label 1 block / 0 allow / null) -> per template: merged boolean, purity double, reject boolean."""
-    keys = ["host", *[f"t{k}" for k in range(1, LEVELS + 1)], "deep"]
+    for k in range(1, depth + 1):
+        rows = rows.withColumn("_seg", F.get("segs", F.lit(k - 1)))
+        rows = checked_join(rows, literal(rows, have, least_rows, share), [*have, "_seg"], "left")
+        own = F.when(F.col("_literal"), F.concat(F.lit("/"), F.col("_seg"))).otherwise(F.lit("/*"))
+        rows = rows.withColumn(f"t{k}", F.when(F.col("_seg").isNull(), F.lit("")).otherwise(own)).drop("_seg", "_literal")
+        have.append(f"t{k}")
+    return rows.withColumn("deep", F.when(F.size("segs") > depth, F.lit("/**")).otherwise(F.lit("")))
+
+
+def merged(stats: DataFrame, depth: int, z: float, least_labels: int) -> DataFrame:
+    """stats(host, t1.., deep, lab, bad) -> + m1..m<depth>: similar siblings are `~`, from the deepest level up."""
+    for k in range(1, depth + 1):
+        stats = stats.withColumn(f"m{k}", F.col(f"t{k}"))
+    names = [f"m{k}" for k in range(1, depth + 1)]
+    for k in range(depth, 0, -1):
+        own = Window.partitionBy("host", *names, "deep")
+        siblings = Window.partitionBy("host", *[m for m in names if m != f"m{k}"], "deep")
+        stats = stats.withColumn("_l", F.sum("lab").over(own)).withColumn("_b", F.sum("bad").over(own))
+        enough = (F.col("_l") >= least_labels) & (F.col(f"m{k}") != "")
+        stats = stats.withColumn("_ol", F.sum(F.when(enough, F.col("lab"))).over(siblings) - F.col("_l"))
+        stats = stats.withColumn("_ob", F.sum(F.when(enough, F.col("bad"))).over(siblings) - F.col("_b"))
+        lab, bad, other, worse = (F.col(c).cast("double") for c in ("_l", "_b", "_ol", "_ob"))
+        pooled, gap = (bad + worse) / (lab + other), bad / lab - worse / other
+        error2 = pooled * (1 - pooled) * (F.lit(1.0) / lab + F.lit(1.0) / other)
+        same = F.coalesce(F.when(enough & (F.col("_ol") > 0), gap * gap <= z * z * error2), F.lit(False))
+        stats = stats.withColumn(f"m{k}", F.when(same, F.lit("/~")).otherwise(F.col(f"m{k}"))).drop("_l", "_b", "_ol", "_ob")
+    return stats
+
+
+def verdicts(rows: DataFrame, depth: int, prior: float = 0.1, strength: float = 2.0, reject_at: float = 0.8, z: float = 1.96, least_labels: int = 5) -> DataFrame:
+    """rows(host, t1.., deep, label 1 block / 0 allow / null) -> per template: merged template, purity double, reject boolean."""
+    keys = ["host", *[f"t{k}" for k in range(1, depth + 1)], "deep"]
     stats = rows.groupBy(*keys).agg(F.count("label").alias("lab"), F.coalesce(F.sum("label"), F.lit(0)).alias("bad"))
-    siblings = Window.partitionBy("host", *keys[2:])
-    enough = (F.col("lab") >= least_labels) & (F.col("t1") != "")
-    pool_lab, pool_bad = F.sum(F.when(enough, F.col("lab"))).over(siblings), F.sum(F.when(enough, F.col("bad"))).over(siblings)
-    stats = stats.withColumn("_lab", pool_lab - F.col("lab")).withColumn("_bad", pool_bad - F.col("bad"))
-    pooled = (F.col("bad") + F.col("_bad")).cast("double") / (F.col("lab") + F.col("_lab")).cast("double")
-    gap = F.col("bad").cast("double") / F.col("lab") - F.col("_bad").cast("double") / F.col("_lab")
-    error2 = pooled * (1 - pooled) * (F.lit(1.0) / F.col("lab") + F.lit(1.0) / F.col("_lab"))
-    merged = F.coalesce(F.when(enough & (F.col("_lab") > 0), gap * gap <= z * z * error2), F.lit(False))
-    stats = stats.withColumn("merged", merged)
-    lab, bad = (F.when(F.col("merged"), F.sum(F.when(F.col("merged"), F.col(c))).over(siblings)).otherwise(F.col(c)) for c in ("lab", "bad"))
-    stats = stats.withColumn("purity", (bad + prior * strength) / (lab + strength))
-    return stats.select(*keys, "merged", "purity", (F.col("purity") >= reject_at).alias("reject"))
+    stats = merged(stats, depth, z, least_labels)
+    names = [f"m{k}" for k in range(1, depth + 1)]
+    own = Window.partitionBy("host", *names, "deep")
+    stats = stats.withColumn("purity", (F.sum("bad").over(own) + prior * strength) / (F.sum("lab").over(own) + strength))
+    return stats.select(*keys, F.concat(F.lit(""), *names, "deep").alias("template"), "purity", (F.col("purity") >= reject_at).alias("reject"))
 
 
 def judge(pages: DataFrame, url_col: str = "url", rules=RULES, **options) -> DataFrame:
@@ -95,13 +112,13 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, **options) -> Dat
     segs = F.filter(F.split("path", "/"), lambda s: s != "")
     rows = rows.withColumn("label", F.when(F.col("_rule.verdict") == "block", 1).when(F.col("_rule.verdict") == "allow", 0))
     rows = save(rows.withColumn("segs", segs), "urls")
-    rows = templates(rows, **{k: v for k, v in options.items() if k in ("least_rows", "share")})
-    keys = ["host", *[f"t{k}" for k in range(1, LEVELS + 1)], "deep"]
-    found = save(verdicts(rows, **{k: v for k, v in options.items() if k not in ("least_rows", "share")}), "urls_verdicts")
+    depth = min(LEVELS, rows.agg(F.coalesce(F.max(F.size("segs")), F.lit(0))).first()[0])
+    rows = templates(rows, depth, **{k: v for k, v in options.items() if k in ("least_rows", "share")})
+    keys = ["host", *[f"t{k}" for k in range(1, depth + 1)], "deep"]
+    found = save(verdicts(rows, depth, **{k: v for k, v in options.items() if k not in ("least_rows", "share")}), "urls_verdicts")
     rows = checked_join(rows, found, keys, "left")
-    template = reduce(F.concat, [F.col(f"t{k}") for k in range(1, LEVELS + 1)]) if LEVELS > 1 else F.col("t1")
     learned = F.when(F.col("reject"), F.lit("block")).otherwise(F.lit("allow"))
-    return rows.select("_page.*", "host", "path", F.col("_rule.rule").alias("rule"), F.concat(template, F.col("deep")).alias("template"), "purity", F.coalesce(F.col("_rule.verdict"), learned).alias("verdict"))
+    return rows.select("_page.*", "host", "path", F.col("_rule.rule").alias("rule"), "template", "purity", F.coalesce(F.col("_rule.verdict"), learned).alias("verdict"))
 
 
 def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +133,21 @@ def _level(k: int) -> str:
   from (select * exclude (n, a), {n} n, {whole} a from l{k - 1}))"""
 
 
+def _names(letter: str, but: int = 0) -> str:
+    return ", ".join(f"{letter}{k}" for k in range(1, LEVELS + 1) if k != but)
+
+
+def _merge(k: int) -> str:
+    before = "s" if k == LEVELS else f"c{k + 1}"
+    rest = f"partition by host, {_names('m', k)}, deep"
+    return f"""a{k} as (select *, sum(lab) over w l, sum(bad) over w b from {before} window w as (partition by host, {_names('m')}, deep)),
+b{k} as (select *, l >= 5 and m{k} <> '' en, cast(sum(case when l >= 5 and m{k} <> '' then lab end) over w - l as double) ol,
+  cast(sum(case when l >= 5 and m{k} <> '' then bad end) over w - b as double) ob from a{k} window w as ({rest})),
+g{k} as (select *, (b + ob) / (cast(l as double) + ol) pool, cast(b as double) / cast(l as double) - ob / ol gap from b{k}),
+c{k} as (select * exclude (l, b, en, ol, ob, pool, gap) replace (case when coalesce(case when en and ol > 0 then
+    gap * gap <= cast(1.96 as double) * cast(1.96 as double) * (pool * (1 - pool) * (1 / cast(l as double) + 1 / ol)) end, false) then '/~' else m{k} end as m{k}) from g{k})"""
+
+
 ORACLE_SQL = rf"""
 with r as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end rest from pages),
 h as (select *, regexp_extract(rest, '^[^/?#]*') h0 from (select page_id, coalesce(rest, '') rest from r)),
@@ -132,20 +164,11 @@ l0 as (
     list_filter(string_split(path, '/'), lambda s : s <> '') segs, 0 n, 0 a from v),
 {", ".join(_level(k) for k in range(1, LEVELS + 1))},
 d as (select *, case when len(segs) > {LEVELS} then '/**' else '' end deep from l{LEVELS}),
-s as (select host, t1, t2, t3, deep, count(label) lab, coalesce(sum(label), 0) bad from d group by all),
-o as (
-  select *, sum(case when lab >= 5 and t1 <> '' then lab end) over w - lab olab, sum(case when lab >= 5 and t1 <> '' then bad end) over w - bad obad
-  from s window w as (partition by host, t2, t3, deep)),
-m as (
-  select *, coalesce(case when lab >= 5 and t1 <> '' and olab > 0 then
-    power(bad / cast(lab as double) - obad / cast(olab as double), 2) <= cast(1.96 as double) * cast(1.96 as double)
-      * ((bad + obad) / cast(lab + olab as double) * (1 - (bad + obad) / cast(lab + olab as double)) * (1 / cast(lab as double) + 1 / cast(olab as double))) end, false) merged from o),
-q as (
-  select *, (case when merged then sum(case when merged then bad end) over w else bad end + cast(0.2 as double))
-    / (case when merged then sum(case when merged then lab end) over w else lab end + cast(2 as double)) purity
-  from m window w as (partition by host, t2, t3, deep))
+s as (select host, {", ".join(f"t{k}, t{k} m{k}" for k in range(1, LEVELS + 1))}, deep, count(label) lab, coalesce(sum(label), 0) bad from d group by all),
+{", ".join(_merge(k) for k in range(LEVELS, 0, -1))},
+q as (select *, (sum(bad) over w + cast(0.2 as double)) / (sum(lab) over w + cast(2 as double)) purity from c1 window w as (partition by host, {_names("m")}, deep))
 select page_id, host, path, rule,
   case when rule in ('com/en/', 'example.net/de/8', 'org/es/') then 'block' when rule is not null then 'allow' when purity >= 0.8 then 'block' else 'allow' end verdict,
-  t1 || t2 || t3 || deep as template, round(purity, 9) purity
-from d join q using (host, t1, t2, t3, deep)
+  {" || ".join(f"m{k}" for k in range(1, LEVELS + 1))} || deep as template, round(purity, 9) purity
+from d join q using (host, {_names("t")}, deep)
 """
