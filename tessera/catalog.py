@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,21 +12,8 @@ from .functions import strings as T
 from .operators import features, kernels, labels, levels, raster, tiles
 from .operators import roads as R
 from .plans.rules import Rule, Ruleset, apply_ruleset, rule_stats, template
-from .sources import mp
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def query(sql: str | None = None, *views: str) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = oracle(sql, *views)
-        return f
-
-    return add
+from .registry import ORACLES, QUERIES, query
+from .sources import mp, storage
 
 
 def get(name: str) -> F.Column:
@@ -102,9 +87,9 @@ def label_title(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), T.title_case(F.concat(F.replace(F.col("n_name"), F.lit("A"), F.lit("-a")), F.lit(" d'eau "), "n_name")).alias("title"))
 
 
-@query("""select n_nationkey as id, translate(n_name || ' ' || 'ŁódźćčŠőű', 'Łźćčőű', 'Lzccou') as label from nation""")
+@query("""select n_nationkey as id, translate(n_name || ' ' || 'ŁódźćčŠőűŋŊħĦŧŦŀĿđĐıā‐≠', 'ŁźćčőűŋŊħĦŧŦŀĿđĐıā‐≠', 'LzccounNhHtTlLdDia?=') as label from nation""")
 def cp1252_sanitize(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), T.cp1252(F.concat("n_name", F.lit(" ŁódźćčŠőű"))).alias("label"))
+    return table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), T.cp1252(F.concat("n_name", F.lit(" ŁódźćčŠőűŋŊħĦŧŦŀĿđĐıā‐≠"))).alias("label"))
 
 
 @query("""select p_partkey as id, case when p_partkey % 3 = 0 then p_name else cast(cast(round(p_size * cast(3.2808399 as double)) as bigint) as varchar) end as label from part""")
@@ -326,8 +311,7 @@ g as (select sla, slo, max(cls) node_class, max(case when n >= 2 then cls end) b
 select sla as lat, slo as lon, node_class, case when used = 1 then node_class else coalesce(busy, l[2]) end as node_group from g""", "v_vertices")
 def node_classes(spark: SparkSession, sf: str) -> DataFrame:
     a = R.arcs(roads(spark, sf), [], "road_id").withColumn("road_class", F.col("road_id") % 7)
-    both = R.node_class(a, []).join(R.node_group(a, [], "road_id"), "src")
-    return both.select(F.col("src.lat_u").alias("lat"), F.col("src.lon_u").alias("lon"), "node_class", "node_group")
+    return R.node_classes(a, [], "road_id").select(F.col("src.lat_u").alias("lat"), F.col("src.lon_u").alias("lon"), "node_class", "node_group")
 
 
 @query()
@@ -377,10 +361,8 @@ def overview_max(spark: SparkSession, sf: str) -> DataFrame:
 @query("""with s as (select id, abs(sum(lon * nlat - nlon * lat)) / 2 a from (select *, lead(lon) over w nlon, lead(lat) over w nlat from v_rings window w as (partition by id order by pt_idx)) group by 1)
   select id, round(a, 6) as area, row_number() over (order by round(a, 6) desc, id) as place from s""", "v_rings")
 def polygon_area_order(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window
-
     g = lines(spark, sf, ("id",), "v_rings").select("id", F.round(S.polygon_area(F.col("geometry")), 6).alias("area"))
-    return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("area"), "id")).cast("long"))
+    return levels.placed(g, [F.desc("area"), F.asc("id")])
 
 
 @query("""with u as (select road_id, pt_idx, (cast(lon * 1000 as int) + 32) & -64 x, (cast((lat - 45) * 1000 as int) + 32) & -64 y from v_vertices),
@@ -416,7 +398,16 @@ def level_hierarchy(spark: SparkSession, sf: str) -> DataFrame:
     else (1 - (rf - r0)) * ((1 - (cf - c0)) * a.h + (cf - c0) * b.h) + (rf - r0) * ((1 - (cf - c0)) * c.h + (cf - c0) * d.h) end, 6) as h
   from q left join v_raster a on a.r = r0 and a.c = c0 left join v_raster b on b.r = r0 and b.c = c0 + 1 left join v_raster c on c.r = r0 + 1 and c.c = c0 left join v_raster d on d.r = r0 + 1 and d.c = c0 + 1""", "v_points", "v_raster")
 def dem_bilinear(spark: SparkSession, sf: str) -> DataFrame:
-    out = raster.bilinear(view(spark, sf, "v_points"), view(spark, sf, "v_raster"), -1.0, 46.0, 1.0, 5, 5)
+    return _sampled(spark, sf, "auto")
+
+
+def _cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The raster as one read grid: degrees from -1 E, 46 N."""
+    return view(spark, sf, "v_raster").select(F.lit("a").alias("grid"), F.lit(-1.0).alias("west"), F.lit(46.0).alias("north"), F.lit(1.0).alias("cell_lon"), F.lit(1.0).alias("cell_lat"), "r", "c", "h")
+
+
+def _sampled(spark: SparkSession, sf: str, method: str) -> DataFrame:
+    out = raster.sampled(view(spark, sf, "v_points"), _cells(spark, sf), ["id"], method)
     return out.select("id", F.round("h", 6).alias("h"))
 
 
@@ -432,10 +423,13 @@ WEIGHT = "case {k} " + " ".join(f"when {k} then {w}" for k, w in enumerate(W)) +
 @query(f"""with p as (select id, (lon + 1) / 1.0::double cf, (46 - lat) / 1.0::double rf from v_points), q as (select *, cast(floor(cf) as int) c1, cast(floor(rf) as int) r1 from p),
   s as (select q.id, sum(h * ({WEIGHT.format(k='v.c - c1 + 1', t='(cf - c1)')}) * ({WEIGHT.format(k='v.r - r1 + 1', t='(rf - r1)')})) h, count(h) n
     from q join v_raster v on v.c between c1 - 1 and c1 + 2 and v.r between r1 - 1 and r1 + 2 group by 1)
-  select q.id, case when n = 16 then round(h, 6) end as h from q left join s using (id)""", "v_points", "v_raster")
+  , t as (select id, case when c1 + 1 >= 5 or r1 + 1 >= 5 then (select h from v_raster v where v.c = cast(round(cf) as int) and v.r = cast(round(rf) as int))
+    else (1 - (rf - r1)) * ((1 - (cf - c1)) * a.h + (cf - c1) * b.h) + (rf - r1) * ((1 - (cf - c1)) * c.h + (cf - c1) * d.h) end two
+    from q left join v_raster a on a.r = r1 and a.c = c1 left join v_raster b on b.r = r1 and b.c = c1 + 1 left join v_raster c on c.r = r1 + 1 and c.c = c1 left join v_raster d on d.r = r1 + 1 and d.c = c1 + 1)
+  select t.id, round(case when n = 16 and c1 >= 1 and r1 >= 1 then s.h else two end, 6) as h from t join q using (id) left join s using (id)""", "v_points", "v_raster")
 def dem_bicubic(spark: SparkSession, sf: str) -> DataFrame:
-    out = raster.bicubic(view(spark, sf, "v_points"), view(spark, sf, "v_raster"), -1.0, 46.0, 1.0, 5, 5)
-    return out.select("id", F.round("h", 6).alias("h"))
+    """D3: bicubic where sixteen neighbours are there, else bilinear."""
+    return _sampled(spark, sf, "bicubic")
 
 
 # --- encodings ---------------------------------------------------------------------------------------------------------
@@ -486,10 +480,22 @@ def clip_boxes(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", F.round(S.polygon_area(F.col("geometry")), 9).alias("area"))
 
 
-@query()
+@query("""with e as (select road_id, pt_idx, lon x0, lat y0, lead(lon) over w x1, lead(lat) over w y1 from v_vertices window w as (partition by road_id order by pt_idx)),
+  d as (select *, x1 - x0 dx, y1 - y0 dy from e where x1 is not null),
+  t as (select *, greatest(0, case when dx > 0 then (0.5 - x0) / dx when dx < 0 then (1.5 - x0) / dx else 0 end, case when dy > 0 then (45.025 - y0) / dy when dy < 0 then (45.75 - y0) / dy else 0 end) t0,
+    least(1, case when dx > 0 then (1.5 - x0) / dx when dx < 0 then (0.5 - x0) / dx else 1 end, case when dy > 0 then (45.75 - y0) / dy when dy < 0 then (45.025 - y0) / dy else 1 end) t1,
+    (dx <> 0 or x0 between 0.5 and 1.5) and (dy <> 0 or y0 between 45.025 and 45.75) ok from d),
+  h as (select *, case when t0 = 0 then x0 else x0 + t0 * dx end px, case when t0 = 0 then y0 else y0 + t0 * dy end py, case when t1 = 1 then x1 else x0 + t1 * dx end qx, case when t1 = 1 then y1 else y0 + t1 * dy end qy
+    from t where ok and t0 <= t1),
+  o as (select *, coalesce(lag(pt_idx) over w = pt_idx - 1 and lag(t1) over w = 1 and t0 = 0, false) joined from h window w as (partition by road_id order by pt_idx)),
+  g as (select *, sum(case when joined then 0 else 1 end) over (partition by road_id order by pt_idx) grp from o),
+  p as (select road_id, grp, list(case when px = qx and py = qy then null else pt_idx end) moved, count(*) filter (where px <> qx or py <> qy) + 1 points,
+    min(least(px, qx)) minx, min(least(py, qy)) miny, max(greatest(px, qx)) maxx, max(greatest(py, qy)) maxy from g group by 1, 2)
+  select road_id, cast(row_number() over (partition by road_id order by grp) - 1 as int) as piece, cast(points as int) as points, round(minx, 9) minx, round(miny, 9) miny, round(maxx, 9) maxx, round(maxy, 9) maxy from p where points > 1""", "v_vertices")
 def clip_lines(spark: SparkSession, sf: str) -> DataFrame:
     out = kernels.mapped(lines(spark, sf), lambda p, _: kernels.clip_line(p, (0.5, 45.025, 1.5, 45.75)))
-    return out.select("road_id", "piece", F.size("geometry").alias("points"), *features.bounds(F.col("geometry")))
+    box = [F.round(c, 9).alias(n) for c, n in zip(features.bounds(F.col("geometry")), ("minx", "miny", "maxx", "maxy"), strict=True)]
+    return out.select("road_id", "piece", F.size("geometry").alias("points"), *box)
 
 
 @query("""with e as (select road_id, pt_idx, lon, lat, lead(lon) over w nx, lead(lat) over w ny, count(*) over (partition by road_id) n from v_vertices window w as (partition by road_id order by pt_idx)),
@@ -498,18 +504,32 @@ def clip_lines(spark: SparkSession, sf: str) -> DataFrame:
     select road_id, 0.25::double * lon + 0.75::double * nx, 0.25::double * lat + 0.75::double * ny from e where nx is not null and n >= 3)
   select road_id, cast(count(*) as int) as points, round(sum(x), 6) as sum_x, round(sum(y), 6) as sum_y from s group by 1""", "v_vertices")
 def chaikin(spark: SparkSession, sf: str) -> DataFrame:
-    out = kernels.mapped(lines(spark, sf), lambda p, _: [kernels.chaikin(p, 1)])
+    out = lines(spark, sf).withColumn("geometry", S.chaikin(F.col("geometry"), 1))
     total = lambda c: F.round(F.aggregate("geometry", F.lit(0.0), lambda a, p: a + p[c]), 6)
     return out.select("road_id", F.size("geometry").alias("points"), total("x").alias("sum_x"), total("y").alias("sum_y"))
 
 
-@query()
+@query("""with recursive b as (select road_id, list(lon order by pt_idx) xs, list(lat order by pt_idx) ys, count(*) n from v_vertices group by 1),
+  s as (select road_id, xs, ys, n, case when n > 2 then [[1, n]] else [] end todo, 2 kept from b
+    union all
+    select road_id, xs, ys, n, case when m > 0.2 then todo[2:] || list_filter([[a, k], [k, z]], lambda q : q[2] - q[1] >= 2) else todo[2:] end, case when m > 0.2 then kept + 1 else kept end
+    from (select *, a + list_position(d, m) k from (select *, list_max(d) m from (
+      select *, list_transform(generate_series(a + 1, z - 1), lambda i : sqrt(power(xs[i] - (xs[a] + t(i) * (xs[z] - xs[a])), 2) + power(ys[i] - (ys[a] + t(i) * (ys[z] - ys[a])), 2))) d from (
+        select *, todo[1][1] a, todo[1][2] z from s where len(todo) > 0)))))
+  select road_id, cast(case when n = 1 then 1 else max(kept) end as int) points from s group by road_id, n""".replace("t(i)", "(case when xs[z] = xs[a] and ys[z] = ys[a] then 0 else least(1, greatest(0, ((xs[i] - xs[a]) * (xs[z] - xs[a]) + (ys[i] - ys[a]) * (ys[z] - ys[a])) / (power(xs[z] - xs[a], 2) + power(ys[z] - ys[a], 2)))) end)"), "v_vertices")
 def douglas_peucker(spark: SparkSession, sf: str) -> DataFrame:
     out = kernels.mapped(lines(spark, sf), lambda p, _: [p[kernels.douglas_peucker(p, 0.2)]])
     return out.select("road_id", F.size("geometry").alias("points"))
 
 
-@query()
+@query("""with recursive b as (select road_id, list(struct_pack(i := pt_idx, x := lon, y := lat) order by pt_idx) l from v_vertices group by 1),
+  r as (select road_id, l, 0 step from b union all
+    select road_id, l[1:k] || l[k + 2:], step + 1 from (select *, list_min(t) m, list_position(t, list_min(t)) k from (
+      select *, list_transform(generate_series(2, len(l) - 1), lambda j : abs((l[j].x - l[j - 1].x) * (l[j + 1].y - l[j - 1].y) - (l[j + 1].x - l[j - 1].x) * (l[j].y - l[j - 1].y)) / 2) t from r where len(l) > 2)) where m < 0.05),
+  last as (select road_id, arg_max(l, step) l from r group by 1),
+  keys as (select distinct road_id, cast(round(lon * 1e6) as bigint) kx, cast(round(lat * 1e6) as bigint) ky from v_vertices), shared as (select kx, ky from keys group by 1, 2 having count(*) >= 2),
+  kept as (select road_id, unnest(l).i i from last union select road_id, pt_idx from v_vertices join shared on kx = cast(round(lon * 1e6) as bigint) and ky = cast(round(lat * 1e6) as bigint))
+  select road_id, cast(count(*) as int) as points from kept group by 1""", "v_vertices")
 def visvalingam(spark: SparkSession, sf: str) -> DataFrame:
     """Topology-safe: vertices shared by two or more roads are anchored."""
     keyed = lambda df: df.withColumn("kx", S.snap(F.col("lon"))).withColumn("ky", S.snap(F.col("lat")))
@@ -539,26 +559,24 @@ def mp_sections(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(k.alias("id"), mp.section_text(F.lit("Point"), attrs, shape).alias("text"))
 
 
-@query()
+@query("""select road_id % 16 || '.mp' as tile, 'R' || road_id as label, cast(count(*) as int) as points, round(sum(round(lon, 6)), 6) as sum_lon, round(sum(round(lat, 6)), 6) as sum_lat
+  from v_vertices group by road_id having count(*) >= 2""", "v_vertices")
 def mp_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Roads written as text tiles and parsed again."""
+    """Roads written as text tiles, one file each, and read back from the files."""
     g = lines(spark, sf).where(F.size("geometry") >= 2).withColumn("tile", F.col("road_id") % 16)
     attrs = F.create_map(F.lit("Type"), F.lit("0x06"), F.lit("Label"), F.concat(F.lit("R"), F.col("road_id").cast("string")))
     text = g.select("tile", "road_id", mp.section_text(F.lit("LineString"), attrs, F.create_map(F.lit(0), F.col("geometry"))).alias("text"))
-    content = mp.tile_texts(text, "tile", ["road_id"])
-
-    def run(batches):
-        import pandas as pd
-
-        for b in batches:
-            for t, c in zip(b["tile"], b["content"], strict=True):
-                rows = mp.parse(c)[1]
-                yield pd.DataFrame({"tile": t, "label": [r["label"] for r in rows], "points": [len(r["levels"][0]) for r in rows]})
-
-    return content.mapInPandas(run, "tile long, label string, points int")
+    out = storage.shared_path(spark, "mp")
+    mp.write_mp(mp.tile_texts(text, "tile", ["road_id"]), out)
+    base = F.col("levels")[0]
+    total = lambda c: F.round(F.aggregate(base, F.lit(0.0), lambda a, p: a + p[c]), 6)
+    return mp.read_mp(spark, out).select("tile", "label", F.size(base).alias("points"), total("x").alias("sum_lon"), total("y").alias("sum_lat"))
 
 
 @query("""select count(*) filter (where o_orderstatus = 'F') as written, count(*) filter (where o_orderstatus = 'O') as empty, cast(sum(case when o_orderstatus = 'F' then o_custkey % 10 else 0 end) as bigint) as features from orders""")
 def build_report(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("tile"), F.when(F.col("o_orderstatus") == "F", "written").when(F.col("o_orderstatus") == "O", "empty").otherwise("skipped").alias("outcome"), F.when(F.col("o_orderstatus") == "F", F.col("o_custkey") % 10).otherwise(0).alias("features"), F.lit(None).cast("string").alias("error"))
     return mp.execution_report(o).select(F.from_json("report", "written long, empty long, features long").alias("r")).select("r.*")
+
+
+from . import catalog_layers, catalog_sources  # noqa: E402, F401  (they register their queries)

@@ -60,6 +60,7 @@ def lines(spark: SparkSession, sf: str, keys: tuple[str, ...] = ("road_id",), so
 def oracle(sql: str, *views: str) -> str:
     """SQL with the named views as leading CTEs; `sql` may open with its own `with`."""
     heads = [f"{v} as ({re.sub(r'[{}]', '', VIEWS[v])})" for v in views]
-    if sql.lstrip().startswith("with "):
-        return "with " + ", ".join([*heads, sql.lstrip()[5:]])
+    for start in ("with recursive ", "with "):
+        if sql.lstrip().startswith(start):
+            return start + ", ".join([*heads, sql.lstrip()[len(start) :]])
     return ("with " + ", ".join(heads) + " " if heads else "") + sql

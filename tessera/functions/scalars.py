@@ -198,3 +198,21 @@ def arc_length_code(units: Column, curve: Column) -> tuple[Column, Column]:
     long_ = F.array(byte(0, 0x3F).bitwiseOR(F.lit(0xC0)), byte(6), byte(14))
     middle = F.when(curve, F.array(byte(0, 0x7F), byte(7))).otherwise(F.array(byte(0, 0x3F).bitwiseOR(F.lit(0x80)), byte(6)))
     return flag, F.when(short, F.array(byte(0))).when(units >= 1 << 14, long_).otherwise(middle)
+
+
+def chaikin(geometry: Column, iterations: int, ring: bool = False) -> Column:
+    """Corner cutting at a quarter and three quarters of each edge; a line keeps its ends, a ring stays closed."""
+    for _ in range(iterations):
+        line = geometry
+        edges = F.arrays_zip(F.slice(line, 1, F.size(line) - 1).alias("a"), F.slice(line, 2, F.size(line) - 1).alias("b"))
+        at = lambda e, p, q: F.struct((p * e["a"]["x"] + q * e["b"]["x"]).alias("x"), (p * e["a"]["y"] + q * e["b"]["y"]).alias("y"))
+        cut = F.flatten(F.transform(edges, lambda e: F.array(at(e, 0.75, 0.25), at(e, 0.25, 0.75))))
+        made = F.concat(cut, F.slice(cut, 1, 1)) if ring else F.concat(F.slice(line, 1, 1), cut, F.slice(line, -1, 1))
+        geometry = F.when(F.size(line) < 3, line).otherwise(made)
+    return geometry
+
+
+def road_length(units: Column) -> Column:
+    """Whole metres along map-unit points (x: longitude, y: latitude)."""
+    steps = F.transform(F.sequence(F.lit(2), F.greatest(F.size(units), F.lit(2))), lambda k: F.when(k <= F.size(units), unit_distance(F.get(units, k - 2)["y"], F.get(units, k - 2)["x"], F.get(units, k - 1)["y"], F.get(units, k - 1)["x"])).otherwise(F.lit(0.0)))
+    return F.aggregate(steps, F.lit(0.0), lambda a, b: a + b).cast("int")

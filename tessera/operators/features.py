@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.strings import plain_number
@@ -21,12 +21,22 @@ def stringified(df: DataFrame, columns: list[str]) -> Column:
 def dedup_first(df: DataFrame, key: str, order: list[str], scope: list[str] | None = None) -> DataFrame:
     """The first row of each key within a scope; rows without a key (null or '') all stay.
 
-    Keyless rows skip the window, so a column that is mostly empty does not pile up in one task.
+    The first row is kept by a partial aggregate in every task, so a hot key costs one row a task; keyless rows are not
+    grouped at all. Rows that agree in `order` must be equal.
     """
     empty = F.col(key).isNull() | (F.col(key).cast("string") == "")
-    spec = Window.partitionBy(*(scope or []), key).orderBy(*order)
-    first = df.where(~empty).withColumn("_n", F.row_number().over(spec)).where("_n = 1").drop("_n")
-    return first.unionByName(df.where(empty))
+    first = df.where(~empty).groupBy(*(scope or []), key).agg(F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_first"))
+    return first.select("_first.*").unionByName(df.where(empty))
+
+
+def counted(df: DataFrame, kind: str = "geom_type") -> DataFrame:
+    """Rows of every type."""
+    return df.groupBy(kind).agg(F.count("*").alias("n"))
+
+
+def decomposed(df: DataFrame, kind: str = "geom_type") -> DataFrame:
+    """A3: multi-geometries of every type, and over all in the row without a type."""
+    return df.where(F.col(kind).startswith("Multi")).rollup(kind).agg(F.count("*").alias("n"))
 
 
 def exploded(df: DataFrame, parts: str = "parts") -> DataFrame:

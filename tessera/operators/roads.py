@@ -127,6 +127,16 @@ def node_group(arc_rows: DataFrame, scope: list[str], road: str, road_class: str
     return used.select(*scope, "src", group.alias("node_group"))
 
 
+def node_classes(arc_rows: DataFrame, scope: list[str], road: str, road_class: str = "road_class") -> DataFrame:
+    """R5, A11, A12 at once: (scope, src, node_class, node_group) from one aggregate of the arcs."""
+    per = arc_rows.withColumn("_c", F.least(F.col(road_class), F.lit(4))).groupBy(*scope, "src", "_c").agg(F.count_distinct(road).alias("_n"))
+    used = per.groupBy(*scope, "src").agg(F.sort_array(F.collect_list(F.struct("_c", "_n")), asc=False).alias("_used"))
+    busy = F.filter("_used", lambda x: x["_n"] >= 2)
+    top = F.element_at("_used", 1)["_c"]
+    group = F.when(F.size("_used") == 1, top).when(F.size(busy) > 0, F.get(busy, F.lit(0))["_c"]).otherwise(F.get("_used", F.lit(1))["_c"])
+    return used.select(*scope, "src", top.alias("node_class"), group.alias("node_group"))
+
+
 def shared_vertices(points: DataFrame, scope: list[str], feature: str) -> DataFrame:
     """Places (1e-6 degrees) that two or more features of a layer pass through."""
     keys = points.select(*scope, feature, S.snap(F.col("lon")).alias("kx"), S.snap(F.col("lat")).alias("ky")).distinct()
