@@ -109,6 +109,10 @@ def excerpt(text: Column, most_bytes: int, parts: int = 8) -> Column:
     return F.when(F.octet_length(text) <= most_bytes, text).otherwise(F.concat_ws(" ", *windows))
 
 
+#: Edges of a component search that one file (and so one task's last step) may hold.
+EDGES_A_FILE = 500_000
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of an undirected edge list (a, b: long, not null) as (node, component), component the least node.
 
@@ -116,8 +120,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     hub is split by the skew join and never gathered. Each step is written to the shared folder.
     """
     edges = save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), name)
-    if edges.isEmpty():
+    count = edges.count()
+    if not count:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    files = count // EDGES_A_FILE + 1
     while True:
         # large star: every larger neighbour of u hangs on the least node around u
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -127,10 +133,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
         mins = down.groupBy("u").agg(F.min("v").alias("m"))
         new = down.join(mins, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).union(mins.select(F.col("m").alias("a"), F.col("u").alias("b")))
-        new = save(new.where("a < b").distinct(), name)
-        settled = new.count() == edges.count() and new.join(edges, ["a", "b"], "left_anti").isEmpty()
-        edges = new
-        if settled:
+        edges = save(new.where("a < b").distinct().coalesce(files), name)
+        # stars: no node hangs on two, and none that hangs on one is another's middle
+        row = edges.agg(F.count("*"), F.count_distinct("b")).first()
+        if row[0] == row[1] and edges.select("a").join(edges.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
             break
     roots = edges.select(F.col("a").alias("node")).distinct()
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(roots.select("node", F.col("node").alias("component")))

@@ -173,7 +173,8 @@ def near_groups(docs: DataFrame, width: int = 3, distance: int = 3, id_col: str
 SAMPLE_TEXTS, SAMPLE_SHARE, COMMON = 20_000, 1 / 64, 200_000
 #: Bits of a text's priority, size and place in one long, so that an indexed shingle is three longs.
 SIZE_BITS, PLACE_BITS, TIMES_BITS = 26, 24, 13
-PARITIES = 1024
+#: Least and greatest numbers of parity bits of a text (powers of two; about two bits a shingle between).
+LEAST_BITS, MOST_BITS = 256, 1 << 17
 #: Texts of a bucket that meet the whole bucket in the first round after the hub's; later rounds take four times as many.
 FIRST_ROUND = 32
 
@@ -224,10 +225,27 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: f
     return first[~known], first[known]
 
 
-def parities(shingles: np.ndarray) -> np.ndarray:
-    """PARITIES bits, each the parity of the number of shingles that fall on it: two sets differ in at least as many shingles as bits."""
-    odd = np.bincount((shingles >> np.uint64(17)).astype(np.int64) & (PARITIES - 1), minlength=PARITIES) & 1
-    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+def parities(shingles: np.ndarray) -> bytes:
+    """Bits, each the parity of the number of shingles that fall on it: two sets differ in at least as many shingles as bits."""
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (2 * len(shingles) - 1).bit_length() if len(shingles) else 0))
+    odd = np.bincount((shingles >> np.uint64(17)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def parity_distance(x: bytes, y: bytes) -> int:
+    """Bits in which two parities differ; the longer one is folded to the shorter one's length."""
+    a, b = (np.frombuffer(v, np.uint64) for v in sorted((x, y), key=len))
+    return int(np.bitwise_count(a ^ np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0)).sum())
+
+
+def _maybe_similar(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = ((batch.column(2).to_numpy() + batch.column(3).to_numpy()) * ((1 - least) / (1 + least)) + 1e-6).tolist()
+            keep = [parity_distance(x.as_py(), y.as_py()) <= m for x, y, m in zip(batch.column(4), batch.column(5), most, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return run
 
 
 def classes(docs: DataFrame, least: float, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -242,13 +260,13 @@ def classes(docs: DataFrame, least: float, words: int, id_col: str, text_col: st
                 sets = [np.unique(h) for h in hashes]
                 rare, hot = zip(*(prefix(s, common, least) for s in sets), strict=True)
                 lists = [pa.array([x.view(np.int64) for x in side], pa.list_(pa.int64())) for side in (rare, hot)]
-                lists.append(pa.array([parities(s) for s in sets], pa.list_(pa.int64())))
+                lists.append(pa.array([parities(s) for s in sets], pa.binary()))
                 sizes = pa.array([len(s) for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], sizes, pa.array(fps), *lists], ["id", "h", "c", "size", "fp", "rare", "hot", "bits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), *identity(text_col), text_col)
-    seen = texts.mapInArrow(run, f"id {kind}, h long, c long, size long, fp long, rare array<long>, hot array<long>, bits array<long>")
+    seen = texts.mapInArrow(run, f"id {kind}, h long, c long, size long, fp long, rare array<long>, hot array<long>, bits binary")
     one = seen.groupBy("h", "c").agg(F.min("id").alias("least"), F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("size", "fp", "rare", "hot", "bits")])
     times = F.least("n", F.lit((1 << TIMES_BITS) - 1))
     info = F.shiftleft(times, SIZE_BITS + PLACE_BITS).bitwiseOR(F.shiftleft("size", PLACE_BITS))
@@ -353,7 +371,8 @@ def near_components(texts: DataFrame, compare: Callable[[DataFrame], DataFrame],
         met = held.join(turn, "key").where("part <> a_part").where(close("info", "a_info", least))
         meet(met.select("a", F.col("node").alias("b")))
         tested = tested.union(turn.select("key", F.col("a").alias("node")))
-        held, some = held.select("key", "node", "info"), some * 4
+        unfinished = rest.where(F.col("turn") > some).select("key").distinct()
+        held, some = checked_join(held.select("key", "node", "info"), unfinished, "key", "left_semi"), some * 4
     return found
 
 
@@ -377,8 +396,8 @@ def comparer(docs: DataFrame, texts: DataFrame, words: int, least: float, id_col
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         few = save(checked_join(light, nodes, "node", "left_semi"), "dedup_light")
         both = pairs.join(few.toDF("a", "na", "bits_a"), "a").join(few.toDF("b", "nb", "bits_b"), "b")
-        apart = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        left = save(both.where(apart <= (F.col("na") + F.col("nb")) * ((1 - least) / (1 + least)) + 1e-6).select("a", "b"), "dedup_left")
+        left = both.select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_maybe_similar(least), "a long, b long")
+        left = save(left, "dedup_left")
         side = whole(left.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         both = left.join(side.toDF("b", "tb"), "b").join(side.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
         return save(both.mapInArrow(_similar(words, least), "a long, b long"), "dedup_links")
