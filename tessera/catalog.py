@@ -191,7 +191,7 @@ def boundary_points(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- flagship ----------------------------------------------------------------------------------------------------------
 
-FLAG_SQL = RULES_SQL + """, k as (select * from (select *, row_number() over (partition by NUMERO, VIT_MOY_VL, rule order by id) n from o where p_size % 7 <> 3) where n = 1 and status = 'matched'),
+FLAG_SQL = RULES_SQL + """, k as (select * from (select *, row_number() over (partition by NUMERO, VIT_MOY_VL, rule order by id) n from o where NATURE <> 'Bretelle') where n = 1 and status = 'matched'),
 b as (select id, min(lon) minx, min(lat) miny, max(lon) maxx, max(lat) maxy from v_rings group by 1),
 v_boxes as (select k.id, typ, cast(VIT_MOY_VL as double) v, minx, miny, maxx, maxy from k join b using (id)), """ + TILES_SQL + """
 select t.col, t."row", typ as type, case when v < 10 then 0 when v < 20 then 1 when v < 30 then 2 when v < 45 then 3 when v < 60 then 4 when v < 75 then 5 when v < 95 then 6 else 7 end as speed, count(*) as roads """ + ASSIGN + " group by all"
@@ -200,7 +200,7 @@ select t.col, t."row", typ as type, case when v < 10 then 0 when v < 20 then 1 w
 @query(FLAG_SQL, "v_attrs", "v_rings")
 def classified_roads(spark: SparkSession, sf: str) -> DataFrame:
     """Scan, filter, first-match rules, dedup, routing class, extent, tile join and count."""
-    a = view(spark, sf, "v_attrs").where("p_size % 7 <> 3")
+    a = view(spark, sf, "v_attrs").where("NATURE <> 'Bretelle'")
     ruled = features.dedup_first(apply_ruleset(a, ROADS), "NUMERO", ["id"], ["VIT_MOY_VL", "rule"]).where("status = 'matched'")
     box = view(spark, sf, "v_rings").groupBy("id").agg(F.min("lon").alias("minx"), F.min("lat").alias("miny"), F.max("lon").alias("maxx"), F.max("lat").alias("maxy"))
     f = ruled.select("id", F.col("out")["Type"].alias("type"), S.speed_class(S.number(get("VIT_MOY_VL"))).alias("speed")).join(box, "id")
@@ -316,9 +316,9 @@ def node_classes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def route_centers(spark: SparkSession, sf: str) -> DataFrame:
-    """Nodes of one map in centres that keep the format's limits."""
-    a = R.arcs(roads(spark, sf), [], "road_id").withColumn("road_class", F.col("road_id") % 7)
-    return R.route_centers(R.node_group(a, [], "road_id"), a, [], "road_id")
+    """Nodes of every tile (here: level) in centres that keep the format's limits."""
+    a = R.arcs(roads(spark, sf).withColumn("tile", F.col("level")), ["tile"], "road_id").withColumn("road_class", F.col("road_id") % 7)
+    return R.route_centers(R.node_classes(a, ["tile"], "road_id"), a, ["tile"], "road_id")
 
 
 @query("""with recursive n as (select o_orderkey as id, o_custkey as n from orders),
@@ -489,7 +489,7 @@ def clip_boxes(spark: SparkSession, sf: str) -> DataFrame:
     from t where ok and t0 <= t1),
   o as (select *, coalesce(lag(pt_idx) over w = pt_idx - 1 and lag(t1) over w = 1 and t0 = 0, false) joined from h window w as (partition by road_id order by pt_idx)),
   g as (select *, sum(case when joined then 0 else 1 end) over (partition by road_id order by pt_idx) grp from o),
-  p as (select road_id, grp, list(case when px = qx and py = qy then null else pt_idx end) moved, count(*) filter (where px <> qx or py <> qy) + 1 points,
+  p as (select road_id, grp, list(case when px = qx and py = qy then null else pt_idx end) moved, count(*) filter (where t0 < t1 and (px <> qx or py <> qy)) + 1 points,
     min(least(px, qx)) minx, min(least(py, qy)) miny, max(greatest(px, qx)) maxx, max(greatest(py, qy)) maxy from g group by 1, 2)
   select road_id, cast(row_number() over (partition by road_id order by grp) - 1 as int) as piece, cast(points as int) as points, round(minx, 9) minx, round(miny, 9) miny, round(maxx, 9) maxx, round(maxy, 9) maxy from p where points > 1""", "v_vertices")
 def clip_lines(spark: SparkSession, sf: str) -> DataFrame:

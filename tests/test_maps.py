@@ -27,9 +27,9 @@ def test_split_centers_keeps_limits():
 
 
 def test_every_node_has_one_center(spark):
-    a = R.arcs(roads(spark, DATA), [], "road_id")
-    want = {tuple(r[0]) for r in a.select("src").distinct().collect()}
-    got = [(r.lat, r.lon) for r in catalog.route_centers(spark, DATA).collect()]
+    a = R.arcs(roads(spark, DATA).withColumn("tile", F.col("level")), ["tile"], "road_id")
+    want = {(r["tile"], *r["src"]) for r in a.select("tile", "src").distinct().collect()}
+    got = [(r.tile, r.lat, r.lon) for r in catalog.route_centers(spark, DATA).collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
 
