@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,13 +37,34 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Lists of the paths saved inside each open `scratch`, the innermost last.
+_OPEN: list[list[str]] = []
+
+
 def save(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df once to the shared folder and read it back: cuts lineage and survives lost executors."""
     path = shared_path(df.sparkSession, name)
     df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables saved inside are deleted at the end, but for the one saved last, which must be all that is still needed."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        *done, last = _OPEN.pop() or [None]
+        if _OPEN and last:
+            _OPEN[-1].append(last)
+        for path in done:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 512, most_bytes: int = 16 << 20) -> None:
     """Bound what one Arrow batch of whole texts can hold, by rows and by bytes, for the session's later queries."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -111,32 +133,54 @@ def excerpt(text: Column, most_bytes: int, parts: int = 8) -> Column:
 
 #: Edges of a component search that one file (and so one task's last step) may hold.
 EDGES_A_FILE = 500_000
+#: Edges (16 bytes each) that one task may unite.
+FEW_EDGES = 100_000
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over all edges of one task."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = x = above[up]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            low, high = sorted((root(a), root(b)))
+            above[high] = low
+    nodes = sorted(above)
+    if nodes:
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "component"])
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+def components(edges: DataFrame, name: str = "components", few: int = FEW_EDGES) -> DataFrame:
     """Connected components of an undirected edge list (a, b: long, not null) as (node, component), component the least node.
 
-    Alternating large-star and small-star steps: minima are pre-aggregated per node, then joined to the edges, so a
-    hub is split by the skew join and never gathered. Each step is written to the shared folder.
+    Up to `few` counted edges are united in one task. More take alternating large-star and small-star steps: minima are
+    pre-aggregated per node, then joined to the edges, so a hub is split by the skew join and never gathered. Each step is
+    written to the shared folder.
     """
-    edges = save(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), name)
-    count = edges.count()
-    if not count:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    files = count // EDGES_A_FILE + 1
-    while True:
-        # large star: every larger neighbour of u hangs on the least node around u
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
-        # small star: u and its lesser neighbours hang on the least of them
-        down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
-        mins = down.groupBy("u").agg(F.min("v").alias("m"))
-        new = down.join(mins, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).union(mins.select(F.col("m").alias("a"), F.col("u").alias("b")))
-        edges = save(new.where("a < b").distinct().coalesce(files), name)
-        # stars: no node hangs on two, and none that hangs on one is another's middle
-        row = edges.agg(F.count("*"), F.count_distinct("b")).first()
-        if row[0] == row[1] and edges.select("a").join(edges.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
-            break
+    with scratch(edges.sparkSession):
+        edges = save(edges.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).where("a < b").distinct(), name)
+        count = edges.count()
+        if count <= few:
+            return save(edges.coalesce(1).mapInArrow(_united, "node long, component long"), name)
+        files = count // EDGES_A_FILE + 1
+        while count:
+            # large star: every larger neighbour of u hangs on the least node around u
+            both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+            large = both.where("b > a").join(least, "a").select(F.col("m").alias("a"), "b").where("a < b").distinct()
+            # small star: u and its lesser neighbours hang on the least of them
+            down = large.select(F.col("b").alias("u"), F.col("a").alias("v"))
+            mins = down.groupBy("u").agg(F.min("v").alias("m"))
+            new = down.join(mins, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).union(mins.select(F.col("m").alias("a"), F.col("u").alias("b")))
+            edges = save(new.where("a < b").distinct().coalesce(files), name)
+            # stars: no node hangs on two, and none that hangs on one is another's middle
+            row = edges.agg(F.count("*"), F.count_distinct("b")).first()
+            if row[0] == row[1] and edges.select("a").join(edges.select(F.col("b").alias("a")), "a", "left_semi").isEmpty():
+                break
     roots = edges.select(F.col("a").alias("node")).distinct()
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).union(roots.select("node", F.col("node").alias("component")))

@@ -6,7 +6,7 @@ and a row's shard is where the middle of its bytes falls among equal targets: sh
 off its target by more than one row at either end.
 
 Cases: null text has size 1 and checksum 0; rows with equal order columns keep one order by checksum and size; null ids
-come first; an empty table gives an empty result; other columns may pass through `keep`.
+come first; an empty table gives an empty result; other columns of `rows` pass through.
 """
 
 from __future__ import annotations
@@ -27,17 +27,19 @@ def text_crc32(text: Column) -> Column:
 
 def shard(rows: DataFrame, size_col: str, order: list[str], shards: int = 8, rows_a_part: int = 50_000) -> DataFrame:
     """rows + shard int, slot long (place in the shard), byte_start long (prefix sum); `rows` should be narrow."""
-    parts = max(4, min(20_000, -(-rows.count() // rows_a_part)))
-    ranged = save(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "shards")
+    parts = max(4, -(-rows.count() // rows_a_part))
+    # rows that agree in the order columns are told apart, so that many of them are no part too large
+    numbered = rows.withColumn("_tie", F.monotonically_increasing_id())
+    ranged = save(numbered.repartitionByRange(parts, *order, "_tie").withColumn("_part", F.spark_partition_id()), "shards")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("_part").agg(F.sum(size_col).alias("_bytes"), F.count("*").alias("_rows"))
     totals = totals.select("_part", F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_byte0"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_row0"), F.sum("_bytes").over(Window.partitionBy()).alias("_total"))
-    inside = Window.partitionBy("_part").orderBy(*order)
+    inside = Window.partitionBy("_part").orderBy(*order, "_tie")
     placed = ranged.withColumn("_byte", F.sum(size_col).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col(size_col)).withColumn("_row", F.row_number().over(inside) - 1)
     placed = checked_join(placed, totals, "_part", "inner", parts)
     start = F.col("_byte0") + F.col("_byte")
     number = F.floor((start * 2 + F.col(size_col)).cast("decimal(38,0)") * shards / (F.col("_total") * 2).cast("decimal(38,0)"))
-    placed = save(placed.withColumn("byte_start", start).withColumn("_row", F.col("_row0") + F.col("_row")).withColumn("shard", F.least(number, F.lit(shards - 1)).cast("int")).drop("_part", "_byte", "_byte0", "_row0", "_total"), "shards_placed")
+    placed = save(placed.withColumn("byte_start", start).withColumn("_row", F.col("_row0") + F.col("_row")).withColumn("shard", F.least(number, F.lit(shards - 1)).cast("int")).drop("_part", "_tie", "_byte", "_byte0", "_row0", "_total"), "shards_placed")
     first = placed.groupBy("shard").agg(F.min("_row").alias("_first"))
     return checked_join(placed, first, "shard", "inner", shards).withColumn("slot", (F.col("_row") - F.col("_first")).cast("long")).drop("_row", "_first")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checked_join, components, save, slices, small_batches, table
+from .common import checked_join, components, save, scratch, slices, small_batches, table
 
 CUTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
@@ -175,8 +175,8 @@ SAMPLE_TEXTS, SAMPLE_SHARE, COMMON = 20_000, 1 / 64, 200_000
 SIZE_BITS, PLACE_BITS, TIMES_BITS = 26, 24, 13
 #: Least and greatest numbers of parity bits of a text (powers of two; about two bits a shingle between).
 LEAST_BITS, MOST_BITS = 256, 1 << 17
-#: Texts of a bucket that meet the whole bucket in the first round after the hub's; later rounds take four times as many.
-FIRST_ROUND = 32
+#: Texts of a bucket that meet the whole bucket in a round after the two hubs; each later round takes four times as many.
+FIRST_ROUND = 4
 
 
 def identity(text_col: str) -> list[Column]:
@@ -277,6 +277,11 @@ def shingles_of(info: str) -> Column:
     return F.shiftrightunsigned(info, PLACE_BITS).bitwiseAND((1 << SIZE_BITS) - 1)
 
 
+def priority(info: str = "info") -> Column:
+    """Order of texts as hubs: often repeated ones first, then long ones; the same in every bucket, whatever the place."""
+    return F.shiftrightunsigned(info, PLACE_BITS)
+
+
 def close(x: str, y: str, least: float) -> Column:
     """Whether two sets that share a shingle at their places can still be similar: it and all behind it bound the overlap."""
     rest = lambda c: shingles_of(c) - F.col(c).bitwiseAND((1 << PLACE_BITS) - 1)
@@ -292,11 +297,11 @@ def buckets(texts: DataFrame) -> DataFrame:
     rare = texts.select("node", "info", F.posexplode("rare").alias("place", "key"))
     rare = rare.select("key", "node", F.col("info").bitwiseOR(place).alias("info"))
     by_key = Window.partitionBy("key")
-    first = by_key.orderBy(F.desc("info"), "node")
+    first = by_key.orderBy(priority().desc(), "node")
     rare = rare.select("key", "node", "info", F.first("node").over(first).alias("hub"), F.first("info").over(first).alias("hub_info"), F.count("*").over(by_key).alias("members"))
     hot = texts.select("node", "info", F.size("rare").cast("long").alias("before"), F.posexplode("hot").alias("place", "key"))
     hot = hot.select("key", "node", F.col("info").bitwiseOR(place + F.col("before")).alias("info"))
-    hubs = hot.groupBy("key").agg(F.max(F.struct("info", (-F.col("node")).alias("less"))).alias("top"), F.count("*").alias("members"))
+    hubs = hot.groupBy("key").agg(F.max(F.struct(priority(), (-F.col("node")).alias("less"), "info")).alias("top"), F.count("*").alias("members"))
     hubs = hubs.where("members > 1").select("key", (-F.col("top.less")).alias("hub"), F.col("top.info").alias("hub_info"), "members")
     hot = hot.join(F.broadcast(hubs), "key")  # at most COMMON rows
     return save(rare.where("members > 1").unionByName(hot), "dedup_buckets")
@@ -322,12 +327,13 @@ def near_components(texts: DataFrame, compare: Callable[[DataFrame], DataFrame],
 
     First come pairs whose fingerprints meet by Golay keys. The similarity asked for reaches far beyond the bits that the
     code decodes, so all pairs that share a shingle of their prefixes follow, which every similar pair does: each bucket's
-    texts meet its hub; then, while a bucket holds texts of several components, those outside its largest component meet
-    all its other components, some at a time. Pairs inside a component are not compared: they could join nothing more.
+    texts meet its hub, then its most central text (which shares most shingles of its prefix with others); then, while a
+    bucket holds texts of several components, those outside its largest component meet all its other components, some at a
+    time. Pairs inside a component are not compared: they could join nothing more.
     """
     held = buckets(texts)
-    members = save(held.select("node").distinct(), "dedup_members")
-    tried = save(golay_stars(checked_join(texts, members, "node", "left_semi"), distance), "dedup_pairs")
+    members = save(held.groupBy("node").agg(F.count("*").alias("degree")), "dedup_members")
+    tried = save(golay_stars(checked_join(texts, members.select("node"), "node", "left_semi"), distance), "dedup_pairs")
     linked = compare(tried)
     found = save(components(linked, "dedup_components"), "dedup_found")
 
@@ -339,6 +345,8 @@ def near_components(texts: DataFrame, compare: Callable[[DataFrame], DataFrame],
         nonlocal tried, linked, found
         known = tried.union(tried.select("b", "a"))
         new = save(pairs.distinct().join(known, ["a", "b"], "left_anti"), "dedup_pairs")
+        if new.isEmpty():
+            return
         good = compare(new)
         tried = tried.union(new)
         if not good.isEmpty():
@@ -354,17 +362,21 @@ def near_components(texts: DataFrame, compare: Callable[[DataFrame], DataFrame],
     meet(star.select(F.col("hub").alias("a"), F.col("node").alias("b")))
     held = held.where("members > 2")
     open_ = save(apart(held).select("key").distinct(), "dedup_keys")
-    held = save(checked_join(held, open_, "key", "left_semi"), "dedup_open")
+    held = checked_join(checked_join(held, open_, "key", "left_semi"), members, "node", "inner")
+    held = save(held.select("key", "node", "info", "degree", "hub"), "dedup_open")
     tested = held.select("key", F.col("hub").alias("node")).distinct()
-    held, some, more = held.select("key", "node", "info"), FIRST_ROUND, True
+    held, some, more = held.drop("hub"), 1, True
     while more:
         rows = placed(held)
         parts = rows.groupBy("key", "part").count()
         main = parts.groupBy("key").agg(F.max(F.struct("count", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
         main = save(main.select("key", F.col("main.part").alias("main")), "dedup_main")
+        if main.isEmpty():
+            return found
         held = save(checked_join(rows, main, "key", "inner"), "dedup_open")
-        rest = held.where("part <> main").join(tested, ["key", "node"], "left_anti")
-        rest = rest.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("info"), "node"))).where(F.col("turn") <= some + 1)
+        # first the most central text of all, then those outside the largest component
+        rest = (held if some == 1 else held.where("part <> main")).join(tested, ["key", "node"], "left_anti")
+        rest = rest.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "node"))).where(F.col("turn") <= some + 1)
         rest = save(rest.select("key", F.col("node").alias("a"), F.col("info").alias("a_info"), F.col("part").alias("a_part"), "turn"), "dedup_turn")
         # once all outside the largest components have met the other ones, no two components of a bucket are left to meet
         more, turn = not rest.where(F.col("turn") > some).isEmpty(), rest.where(F.col("turn") <= some)
@@ -372,7 +384,8 @@ def near_components(texts: DataFrame, compare: Callable[[DataFrame], DataFrame],
         meet(met.select("a", F.col("node").alias("b")))
         tested = tested.union(turn.select("key", F.col("a").alias("node")))
         unfinished = rest.where(F.col("turn") > some).select("key").distinct()
-        held, some = checked_join(held.select("key", "node", "info"), unfinished, "key", "left_semi"), some * 4
+        held = checked_join(held.select("key", "node", "info", "degree"), unfinished, "key", "left_semi")
+        some = max(FIRST_ROUND, some * 4)
     return found
 
 
@@ -442,18 +455,19 @@ def deduplicate(docs: DataFrame, least: float = 0.8, words: int = 5, distance: i
     repeats with other texts is another document for each. Null texts count as empty ones.
     """
     small_batches(docs.sparkSession)
-    texts = classes(docs, least, words, id_col, text_col)
-    found = near_components(texts, comparer(docs, texts, words, least, id_col, text_col), least, distance)
-    grouped = checked_join(texts.select("node", "h", "c", "least", "n"), found, "node", "left").where("n > 1 or component is not null")
-    grouped = save(grouped.select("node", "h", "c", "least", F.coalesce("component", "node").alias("component")), "dedup_grouped")
-    order = F.struct(F.col("least").isNull(), "least", "node")
-    kept = grouped.groupBy("component").agg(F.min_by("node", order).alias("keep"))
-    grouped = grouped.join(kept, "component").select("h", "c", "least", (F.col("keep") == F.col("node")).alias("stays"))
-    rows = docs.select(F.col(id_col).alias("id"), *identity(text_col))
-    drop = checked_join(rows, save(grouped, "dedup_kept"), ["h", "c"], "inner").where(~F.col("stays") | ~F.col("id").eqNullSafe(F.col("least")))
-    drop = save(drop.select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("c").alias("_c")).distinct(), "dedup_drop")
+    with scratch(docs.sparkSession):
+        texts = classes(docs, least, words, id_col, text_col)
+        found = near_components(texts, comparer(docs, texts, words, least, id_col, text_col), least, distance)
+        grouped = checked_join(texts.select("node", "h", "c", "least", "n"), found, "node", "left").where("n > 1 or component is not null")
+        grouped = save(grouped.select("node", "h", "c", "least", F.coalesce("component", "node").alias("component")), "dedup_grouped")
+        order = F.struct(F.col("least").isNull(), "least", "node")
+        kept = grouped.groupBy("component").agg(F.min_by("node", order).alias("keep"))
+        grouped = grouped.join(kept, "component").select("h", "c", "least", (F.col("keep") == F.col("node")).alias("stays"))
+        rows = docs.select(F.col(id_col).alias("id"), *identity(text_col))
+        drop = checked_join(rows, save(grouped, "dedup_kept"), ["h", "c"], "inner").where(~F.col("stays") | ~F.col("id").eqNullSafe(F.col("least")))
+        drop = save(drop.select(F.col("id").alias("_id"), F.col("h").alias("_h"), F.col("c").alias("_c")).distinct(), "dedup_drop")
     h, c = identity(text_col)
-    on = docs[id_col].eqNullSafe(F.col("_id")) & (h == F.col("_h")) & (c == F.col("_c"))
+    on = docs[id_col].eqNullSafe(drop["_id"]) & (h == drop["_h"]) & (c == drop["_c"])
     return checked_join(docs, drop, on, "left_anti")
 
 

@@ -210,10 +210,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, share: float =
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without those that cover the share of an item (rows with a null id stay out of the join and are kept)."""
-    bad = save(leaks(docs, benchmark, id_col=id_col, **options).select(id_col).distinct(), "leaks")
-    return checked_join(docs, bad, id_col, "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """docs without those that cover the share of an item; rows go by their texts (two checksums), so ids may repeat or be null."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    h, c = F.xxhash64(text), F.crc32(text.cast("binary"))
+    found = leaks(docs.select(F.struct(h.alias("h"), c.alias("c")).alias("_doc"), text_col), benchmark, id_col="_doc", text_col=text_col, **options)
+    bad = save(found.select("_doc.h", "_doc.c").distinct().toDF("_h", "_c"), "leaks")
+    return checked_join(docs, bad, (h == bad["_h"]) & (c == bad["_c"]), "left_anti")
 
 
 def op7_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:

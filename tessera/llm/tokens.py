@@ -12,7 +12,7 @@ those of its chunks in a row. Chunks are found in numpy for a slice of texts at
 length and its first and last eight bytes, which are looked up in a table of chunks that the library has encoded; longer
 ones go by a dictionary. Both are bounded. Texts with white space outside ASCII are encoded whole.
 
-Cases: null or empty text has the end id alone; rows that repeat an id are ordered by checksum and text; the strings of
+Cases: null or empty text has the end id alone; rows that repeat an id are ordered by their text's checksum; the strings of
 special tokens are ordinary text; null doc_ids come first; an empty table gives an empty result; other columns stay out.
 """
 
@@ -228,10 +228,10 @@ def encoded(docs: DataFrame, path: str, end: int = END, id_col: str = "doc_id",
 
 
 def write_tokens(docs: DataFrame, out: str, path: str, id_col: str = "doc_id", text_col: str = "text", rows_a_file: int = 100_000, **layout: str) -> None:
-    """Write the token files to `out`, in ascending id order; rows that share an id are dealt by their text's checksum."""
+    """Write the token files to `out`, in ascending id order; rows that share an id are dealt by their text's checksum, equal rows too."""
     files = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // rows_a_file))
-    keyed = docs.select(id_col, text_col, F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("_check"))
-    ranged = keyed.repartitionByRange(files, id_col, "_check").sortWithinPartitions(id_col, "_check", text_col)
+    keyed = docs.select(id_col, text_col, F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("_check"), F.monotonically_increasing_id().alias("_tie"))
+    ranged = keyed.repartitionByRange(files, id_col, "_check", "_tie").sortWithinPartitions(id_col, "_check", "_tie")
     encoded(ranged, path, id_col=id_col, text_col=text_col).write.options(**(LAYOUT | layout)).parquet(out)
 
 

@@ -170,13 +170,14 @@ def test_deduplicate_dense_buckets(spark):
 
 
 def test_deduplicate_pairs_grow_with_rows(spark, monkeypatch):
-    """One family of near copies, of which half of the pairs are below 0.8: pairs compared grow with the rows, not their square."""
+    """One family of near copies with one or three words changed: pairs of the latter are below 0.8, and all hang together by the
+    former. Pairs compared grow with the rows, not their square."""
     def pairs_of(n):
         r = np.random.default_rng(5)
         base, rows = [f"w{k}" for k in r.integers(0, 5000, 200)], []
         for k in range(n):
             t = list(base)
-            for at in r.choice(200, 5, replace=False):
+            for at in r.choice(200, 1 + k % 2 * 2, replace=False):
                 t[at] = f"z{k}-{at}"
             rows.append((k, " ".join(t)))
         seen = []
@@ -196,7 +197,7 @@ def test_deduplicate_pairs_grow_with_rows(spark, monkeypatch):
         return sum(seen)
 
     small, large = pairs_of(150), pairs_of(600)
-    assert large < 8 * small and large < 40 * 600
+    assert large < 8 * small and large < 20 * 600
 
 
 def five_words(t):
@@ -270,8 +271,9 @@ def test_clashing_names(spark):
 
 def test_components(spark):
     chain = [(k, k + 1) for k in range(1, 40)] + [(100, 101), (101, 102), (5, 5)]
-    got = dict(map(tuple, components(spark.createDataFrame(chain, "a long, b long")).collect()))
-    assert got == {k: 1 for k in range(1, 41)} | {100: 100, 101: 100, 102: 100}
+    for few in (0, 1000):
+        got = dict(map(tuple, components(spark.createDataFrame(chain, "a long, b long"), few=few).collect()))
+        assert got == {k: 1 for k in range(1, 41)} | {100: 100, 101: 100, 102: 100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
