@@ -227,7 +227,7 @@ def encoded(docs: DataFrame, path: str, end: int = END, id_col: str = "doc_id",
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_tokens int, ids array<int>")
 
 
-def write_tokens(docs: DataFrame, out: str, path: str, id_col: str = "doc_id", text_col: str = "text", rows_a_file: int = 100_000, **layout: str) -> None:
+def write_tokens(docs: DataFrame, out: str, path: str, id_col: str = "doc_id", text_col: str = "text", rows_a_file: int = 20_000, **layout: str) -> None:
     """Write the token files to `out`, in ascending id order; rows that share an id are dealt by their text's checksum, equal rows too."""
     files = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-docs.count() // rows_a_file))
     keyed = docs.select(id_col, text_col, F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("_check"), F.monotonically_increasing_id().alias("_tie"))
