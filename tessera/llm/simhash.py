@@ -175,8 +175,10 @@ SAMPLE_TEXTS, SAMPLE_SHARE, COMMON = 20_000, 1 / 64, 200_000
 SIZE_BITS, PLACE_BITS, TIMES_BITS = 26, 24, 13
 #: Least and greatest numbers of parity bits of a text (powers of two; about two bits a shingle between).
 LEAST_BITS, MOST_BITS = 256, 1 << 17
-#: Texts of a bucket that meet the whole bucket in a round after the two hubs; each later round takes four times as many.
-FIRST_ROUND = 4
+#: Share of all shingles, by hash, whose exact numbers of texts order the first index; the second index takes all shingles.
+EARLY = 0.3
+#: Texts of a bucket that meet the whole bucket in a round after the two hubs; each later round takes so many times as many.
+FIRST_ROUND = 8
 
 
 def identity(text_col: str) -> list[Column]:
@@ -209,10 +211,13 @@ def common_shingles(docs: DataFrame, words: int, id_col: str, text_col: str) ->
     return keys[order], n[order]
 
 
-def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The first shingles of a set (sorted, distinct) in one order for all texts, those not in `common` first; (rare, common).
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float, share: float) -> tuple[np.ndarray, int, np.ndarray]:
+    """What a set (sorted, distinct) gives to the index: (rare, early, hot).
 
-    Sets of `least` similarity share at least ceil(least * size) shingles, so one of the first size - that + 1 of each.
+    One order of shingles holds for all texts: those not in `common` with a hash in the first `share` of all hashes, by the
+    number of texts that have them; the rest of those not in `common`, by hash; the common ones. Sets of `least` similarity
+    share at least ceil(least * size) shingles, so one of the first size - that + 1 of each. The numbers are known only in
+    the index (see buckets), so `rare` holds all `early` ones that they order, and others as far as the prefix may reach.
     """
     keys, n = common
     seen = np.zeros(len(shingles), np.int64)
@@ -220,9 +225,11 @@ def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: f
         at = np.minimum(np.searchsorted(keys, shingles), len(keys) - 1)
         seen = np.where(keys[at] == shingles, n[at], 0)
     most = len(shingles) - int(np.ceil(least * len(shingles) - 1e-9)) + 1 if len(shingles) else 0
-    order = np.lexsort((shingles, seen))[:most]
-    first, known = shingles[order], seen[order] > 0
-    return first[~known], first[known]
+    known = seen > 0
+    rare, hot = shingles[~known], shingles[known]
+    early = int(np.count_nonzero((rare >> np.uint64(32)) < np.uint64(share * (1 << 32))))
+    hot = hot[np.lexsort((hot, seen[known]))][: max(0, most - len(rare))]
+    return rare[: max(early, most)], early, hot
 
 
 def parities(shingles: np.ndarray) -> bytes:
@@ -248,9 +255,14 @@ def _maybe_similar(least: float):
     return run
 
 
-def classes(docs: DataFrame, least: float, words: int, id_col: str, text_col: str) -> DataFrame:
-    """One row a distinct text: node, h, c, least id, info (how often it is there, shingles), fp, prefix shingles, parities."""
-    common = common_shingles(docs, words, id_col, text_col)
+def _indexed(sets: list[np.ndarray], common: tuple[np.ndarray, np.ndarray], least: float, share: float) -> list[pa.Array]:
+    """Columns early, rare and hot of `prefix`."""
+    rare, early, hot = zip(*(prefix(s, common, least, share) for s in sets), strict=True)
+    return [pa.array(early, pa.int64()), *(pa.array([x.view(np.int64) for x in side], pa.list_(pa.int64())) for side in (rare, hot))]
+
+
+def classes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], least: float, words: int, id_col: str, text_col: str) -> DataFrame:
+    """One row a distinct text: node, h, c, least id, info (how often it is there, shingles), fp, shingles of `prefix`, parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,19 +270,18 @@ def classes(docs: DataFrame, least: float, words: int, id_col: str, text_col: st
                 hashes = [shingle_hashes(t, words) for t in texts]
                 fps = np.fromiter(map(fingerprint, hashes), np.int64, len(texts))
                 sets = [np.unique(h) for h in hashes]
-                rare, hot = zip(*(prefix(s, common, least) for s in sets), strict=True)
-                lists = [pa.array([x.view(np.int64) for x in side], pa.list_(pa.int64())) for side in (rare, hot)]
-                lists.append(pa.array([parities(s) for s in sets], pa.binary()))
+                bits = pa.array([parities(s) for s in sets], pa.binary())
                 sizes = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], sizes, pa.array(fps), *lists], ["id", "h", "c", "size", "fp", "rare", "hot", "bits"])
+                columns = [*part.columns[:3], sizes, pa.array(fps), *_indexed(sets, common, least, EARLY), bits]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "h", "c", "size", "fp", "early", "rare", "hot", "bits"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias("id"), *identity(text_col), text_col)
-    seen = texts.mapInArrow(run, f"id {kind}, h long, c long, size long, fp long, rare array<long>, hot array<long>, bits binary")
-    one = seen.groupBy("h", "c").agg(F.min("id").alias("least"), F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("size", "fp", "rare", "hot", "bits")])
+    seen = texts.mapInArrow(run, f"id {kind}, h long, c long, size long, fp long, early long, rare array<long>, hot array<long>, bits binary")
+    one = seen.groupBy("h", "c").agg(F.min("id").alias("least"), F.count("*").alias("n"), *[F.first(x).alias(x) for x in ("size", "fp", "early", "rare", "hot", "bits")])
     times = F.least("n", F.lit((1 << TIMES_BITS) - 1))
     info = F.shiftleft(times, SIZE_BITS + PLACE_BITS).bitwiseOR(F.shiftleft("size", PLACE_BITS))
-    return save(one.select(F.monotonically_increasing_id().alias("node"), "h", "c", "least", "n", info.alias("info"), "fp", "rare", "hot", "bits"), "dedup_classes")
+    return save(one.select(F.monotonically_increasing_id().alias("node"), "h", "c", "least", "n", info.alias("info"), "fp", "early", "rare", "hot", "bits"), "dedup_classes")
 
 
 def shingles_of(info: str) -> Column:
@@ -282,29 +293,50 @@ def priority(info: str = "info") -> Column:
     return F.shiftrightunsigned(info, PLACE_BITS)
 
 
+def rest(info: str) -> Column:
+    """Shingles at a place and behind it."""
+    return shingles_of(info) - F.col(info).bitwiseAND((1 << PLACE_BITS) - 1)
+
+
 def close(x: str, y: str, least: float) -> Column:
     """Whether two sets that share a shingle at their places can still be similar: it and all behind it bound the overlap."""
-    rest = lambda c: shingles_of(c) - F.col(c).bitwiseAND((1 << PLACE_BITS) - 1)
     return F.least(rest(x), rest(y)) >= (shingles_of(x) + shingles_of(y)) * (least / (1 + least)) - 1e-6
 
 
-def buckets(texts: DataFrame) -> DataFrame:
+def reach(info: str, least: float) -> Column:
+    """The greatest size of a set that can be `close` to this one."""
+    return rest(info) * ((1 + least) / least) - shingles_of(info) + 1e-3
+
+
+def buckets(texts: DataFrame, least: float, share: float) -> DataFrame:
     """(key, node, info, hub, hub_info, members) of every prefix shingle that two or more texts share; hub: the most repeated.
 
-    Shingles known to be common are few: their hubs are pre-aggregated and broadcast. The others are dealt by shingle once.
+    Shingles known to be common are few: their hubs are pre-aggregated and broadcast. The others are dealt by shingle to be
+    counted; those that only one text has go, and what is left gets its places, text by text. Rows go that are `close` to no
+    size in their bucket.
     """
-    place = F.col("place").cast("long")
-    rare = texts.select("node", "info", F.posexplode("rare").alias("place", "key"))
-    rare = rare.select("key", "node", F.col("info").bitwiseOR(place).alias("info"))
-    by_key = Window.partitionBy("key")
+    by_key, by_node = Window.partitionBy("key"), Window.partitionBy("node")
+    late = F.shiftrightunsigned("key", 32) >= int(share * (1 << 32))
+    rare = texts.select("node", F.explode("rare").alias("key"))
+    rare = rare.select("node", "key", late.alias("late"), F.count("*").over(by_key).alias("members")).where("late or members > 1")
+    rare = rare.select("node", "key", "late", F.when(F.col("late"), 0).otherwise(F.col("members")).alias("members"))
+    most = shingles_of("info") - F.ceil(shingles_of("info") * least - 1e-9) + 1
+    rare = rare.join(texts.select("node", "info", "early").hint("merge"), "node")
+    single = F.col("early") - F.count(F.when(~F.col("late"), 1)).over(by_node)  # shingles that stand before all of these
+    place = single + F.row_number().over(by_node.orderBy("late", "members", "key")) - 1
+    rare = rare.select("key", "node", "info", place.cast("long").alias("place")).where(F.col("place") < most)
+    rare = rare.select("key", "node", F.col("info").bitwiseOR(F.col("place")).alias("info"))
     first = by_key.orderBy(priority().desc(), "node")
-    rare = rare.select("key", "node", "info", F.first("node").over(first).alias("hub"), F.first("info").over(first).alias("hub_info"), F.count("*").over(by_key).alias("members"))
+    sizes = [F.count("*"), F.min(shingles_of("info")), F.max(reach("info", least))]
+    names = ["members", "least_size", "most_reach"]
+    rare = rare.select("key", "node", "info", F.first("node").over(first).alias("hub"), F.first("info").over(first).alias("hub_info"), *[x.over(by_key).alias(n) for x, n in zip(sizes, names, strict=True)])
     hot = texts.select("node", "info", F.size("rare").cast("long").alias("before"), F.posexplode("hot").alias("place", "key"))
-    hot = hot.select("key", "node", F.col("info").bitwiseOR(place + F.col("before")).alias("info"))
-    hubs = hot.groupBy("key").agg(F.max(F.struct(priority(), (-F.col("node")).alias("less"), "info")).alias("top"), F.count("*").alias("members"))
-    hubs = hubs.where("members > 1").select("key", (-F.col("top.less")).alias("hub"), F.col("top.info").alias("hub_info"), "members")
+    hot = hot.select("key", "node", F.col("info").bitwiseOR(F.col("place").cast("long") + F.col("before")).alias("info"))
+    hubs = hot.groupBy("key").agg(F.max(F.struct(priority(), (-F.col("node")).alias("less"), "info")).alias("top"), *[x.alias(n) for x, n in zip(sizes, names, strict=True)])
+    hubs = hubs.where("members > 1").select("key", (-F.col("top.less")).alias("hub"), F.col("top.info").alias("hub_info"), *names)
     hot = hot.join(F.broadcast(hubs), "key")  # at most COMMON rows
-    return save(rare.where("members > 1").unionByName(hot), "dedup_buckets")
+    both = rare.where("members > 1").unionByName(hot).where((F.col("least_size") <= reach("info", least)) & (shingles_of("info") <= F.col("most_reach")))
+    return save(both.drop("least_size", "most_reach"), "dedup_buckets")
 
 
 def golay_stars(texts: DataFrame, distance: int) -> DataFrame:
@@ -322,18 +354,21 @@ def golay_stars(texts: DataFrame, distance: int) -> DataFrame:
     return same.union(across.select("a", F.col("hub").alias("b")))
 
 
-def near_components(texts: DataFrame, compare: Callable[[DataFrame], DataFrame], least: float, distance: int = 3) -> DataFrame:
+def near_components(texts: DataFrame, compare: Callable[[DataFrame], DataFrame], refined: Callable[[DataFrame], DataFrame], least: float, distance: int = 3) -> DataFrame:
     """Texts of `classes` -> (node, component) of those with a link of at least `least` similarity; `compare` leaves such pairs.
 
     First come pairs whose fingerprints meet by Golay keys. The similarity asked for reaches far beyond the bits that the
     code decodes, so all pairs that share a shingle of their prefixes follow, which every similar pair does: each bucket's
-    texts meet its hub, then its most central text (which shares most shingles of its prefix with others); then, while a
-    bucket holds texts of several components, those outside its largest component meet all its other components, some at a
-    time. Pairs inside a component are not compared: they could join nothing more.
+    texts meet its hub. Texts of buckets that still hold several components are indexed anew (`refined`), by the exact numbers
+    of texts among them that have each shingle: every similar pair across components is among these texts, so it shares a
+    shingle of the new prefixes too, while texts that differ in more shingles than similar sets may fill their prefixes with
+    those. There each bucket's texts meet its hub, then its most central text (which shares most shingles of its prefix with
+    others); then, while a bucket holds texts of several components, those outside its largest component meet all its other
+    components, some at a time. Pairs inside a component are not compared: they could join nothing more.
     """
-    held = buckets(texts)
-    members = save(held.groupBy("node").agg(F.count("*").alias("degree")), "dedup_members")
-    tried = save(golay_stars(checked_join(texts, members.select("node"), "node", "left_semi"), distance), "dedup_pairs")
+    held = buckets(texts, least, EARLY)
+    met = save(held.select("node").distinct(), "dedup_members")
+    tried = save(golay_stars(checked_join(texts, met, "node", "left_semi"), distance), "dedup_pairs")
     linked = compare(tried)
     found = save(components(linked, "dedup_components"), "dedup_found")
 
@@ -358,12 +393,19 @@ def near_components(texts: DataFrame, compare: Callable[[DataFrame], DataFrame],
         other = found.select(F.col("node").alias("hub"), F.col("component").alias("_hub_part"))
         return checked_join(placed(rows), other, "hub", "left").where(F.col("part") != F.coalesce("_hub_part", "hub"))
 
-    star = apart(held.where("node <> hub")).where(close("info", "hub_info", least))
-    meet(star.select(F.col("hub").alias("a"), F.col("node").alias("b")))
-    held = held.where("members > 2")
-    open_ = save(apart(held).select("key").distinct(), "dedup_keys")
-    held = checked_join(checked_join(held, open_, "key", "left_semi"), members, "node", "inner")
-    held = save(held.select("key", "node", "info", "degree", "hub"), "dedup_open")
+    def meet_hubs(rows: DataFrame) -> DataFrame:
+        """Rows of buckets in which several components are left once all texts have met their hubs."""
+        star = apart(rows.where("node <> hub")).where(close("info", "hub_info", least))
+        meet(star.select(F.col("hub").alias("a"), F.col("node").alias("b")))
+        rows = rows.where("members > 2")
+        return checked_join(rows, save(apart(rows).select("key").distinct(), "dedup_keys"), "key", "left_semi")
+
+    nodes = save(meet_hubs(held).select("node").distinct(), "dedup_nodes")
+    if nodes.isEmpty():
+        return found
+    held = meet_hubs(buckets(refined(nodes), least, 1.0))
+    members = save(held.groupBy("node").agg(F.count("*").alias("degree")), "dedup_members")
+    held = save(checked_join(held, members, "node", "inner").select("key", "node", "info", "degree", "hub"), "dedup_open")
     tested = held.select("key", F.col("hub").alias("node")).distinct()
     held, some, more = held.drop("hub"), 1, True
     while more:
@@ -385,18 +427,14 @@ def near_components(texts: DataFrame, compare: Callable[[DataFrame], DataFrame],
         tested = tested.union(turn.select("key", F.col("a").alias("node")))
         unfinished = rest.where(F.col("turn") > some).select("key").distinct()
         held = checked_join(held.select("key", "node", "info", "degree"), unfinished, "key", "left_semi")
-        some = max(FIRST_ROUND, some * 4)
+        some *= FIRST_ROUND
     return found
 
 
-def comparer(docs: DataFrame, texts: DataFrame, words: int, least: float, id_col: str, text_col: str) -> Callable[[DataFrame], DataFrame]:
-    """A function that leaves of pairs (a, b) of nodes those whose shingle sets are similar.
-
-    Pairs whose parities already differ in more shingles than similar sets can go first; the others' whole texts are read.
-    """
+def reader(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str) -> Callable[[DataFrame], DataFrame]:
+    """A function that gives the whole texts of nodes: (node) -> (node, text), saved."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *identity(text_col))
     known = texts.select("node", F.col("h").alias("_h"), F.col("c").alias("_c"), F.col("least").alias("id"))
-    light = texts.select("node", shingles_of("info").alias("n"), "bits")
 
     def whole(nodes: DataFrame) -> DataFrame:
         wanted = checked_join(known, nodes, "node", "left_semi")
@@ -405,6 +443,33 @@ def comparer(docs: DataFrame, texts: DataFrame, words: int, least: float, id_col
         got = got.where("h = _h and c = _c").select("node", "text").union(bare.select("node", "text"))
         return save(got.groupBy("node").agg(F.first("text").alias("text")), "dedup_texts")
 
+    return whole
+
+
+def refiner(texts: DataFrame, whole: Callable[[DataFrame], DataFrame], common: tuple[np.ndarray, np.ndarray], words: int, least: float) -> Callable[[DataFrame], DataFrame]:
+    """A function that gives the columns of `buckets` for nodes, with all their shingles that are not common as early ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, values in slices(batch):
+                sets = [np.unique(shingle_hashes(t, words)) for t in values]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *_indexed(sets, common, least, 1.0)], ["node", "info", "early", "rare", "hot"])
+
+    def refined(nodes: DataFrame) -> DataFrame:
+        infos = checked_join(texts.select("node", "info"), nodes, "node", "left_semi")
+        rows = checked_join(whole(nodes), infos, "node", "inner").select("node", "info", "text")
+        return save(rows.mapInArrow(run, "node long, info long, early long, rare array<long>, hot array<long>"), "dedup_shingles")
+
+    return refined
+
+
+def comparer(texts: DataFrame, whole: Callable[[DataFrame], DataFrame], words: int, least: float) -> Callable[[DataFrame], DataFrame]:
+    """A function that leaves of pairs (a, b) of nodes those whose shingle sets are similar.
+
+    Pairs whose parities already differ in more shingles than similar sets can go first; the others' whole texts are read.
+    """
+    light = texts.select("node", shingles_of("info").alias("n"), "bits")
+
     def compare(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         few = save(checked_join(light, nodes, "node", "left_semi"), "dedup_light")
@@ -456,8 +521,10 @@ def deduplicate(docs: DataFrame, least: float = 0.8, words: int = 5, distance: i
     """
     small_batches(docs.sparkSession)
     with scratch(docs.sparkSession):
-        texts = classes(docs, least, words, id_col, text_col)
-        found = near_components(texts, comparer(docs, texts, words, least, id_col, text_col), least, distance)
+        common = common_shingles(docs, words, id_col, text_col)
+        texts = classes(docs, common, least, words, id_col, text_col)
+        whole = reader(docs, texts, id_col, text_col)
+        found = near_components(texts, comparer(texts, whole, words, least), refiner(texts, whole, common, words, least), least, distance)
         grouped = checked_join(texts.select("node", "h", "c", "least", "n"), found, "node", "left").where("n > 1 or component is not null")
         grouped = save(grouped.select("node", "h", "c", "least", F.coalesce("component", "node").alias("component")), "dedup_grouped")
         order = F.struct(F.col("least").isNull(), "least", "node")
