@@ -350,7 +350,8 @@ def golay_stars(texts: DataFrame, distance: int) -> DataFrame:
     index = index.select("key", (-F.col("top.less")).alias("a"), F.col("top.fp").alias("fa"))
     query = own.select("fp").mapInArrow(_keyed(False), "key long, fp long")
     near = (F.col("fp") != F.col("fa")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fa"))) <= distance)
-    across = query.join(index, "key").where(near).select("a", "fp").distinct().join(own, "fp")
+    # Spark takes the keys for as small as the fingerprints they come from; merged, they are not gathered at the driver
+    across = query.join(index.hint("merge"), "key").where(near).select("a", "fp").distinct().join(own, "fp")
     return same.union(across.select("a", F.col("hub").alias("b")))
 
 

@@ -231,6 +231,13 @@ def test_deduplicate_unlike_families(spark, monkeypatch):
     assert sum(seen) < 6 * len(rows)
 
 
+def test_golay_keys_are_not_broadcast(spark):
+    """A fingerprint has over a hundred keys, though Spark takes them for as small as the fingerprints: no side holding them goes to the driver."""
+    texts = spark.createDataFrame([(k, k * 7919, k << 40) for k in range(50)], "node long, fp long, info long")
+    plan = simhash.golay_stars(texts, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=merge" in plan
+
+
 def five_words(t):
     w = t.split()
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
