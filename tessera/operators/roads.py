@@ -120,18 +120,21 @@ def node_class(arc_rows: DataFrame, scope: list[str], road_class: str = "road_cl
 
 def node_group(arc_rows: DataFrame, scope: list[str], road: str, road_class: str = "road_class") -> DataFrame:
     """Highest class with two or more roads, else the second-highest used class, else the only one."""
-    per = arc_rows.withColumn("_c", F.least(F.col(road_class), F.lit(4))).groupBy(*scope, "src", "_c").agg(F.count_distinct(road).alias("_n"))
+    per = arc_rows.withColumn("_c", F.least(F.col(road_class), F.lit(4))).groupBy(*scope, "src", "_c").agg((F.min(road) != F.max(road)).alias("_n"))
     used = per.groupBy(*scope, "src").agg(F.sort_array(F.collect_list(F.struct("_c", "_n")), asc=False).alias("_used"))
-    busy = F.filter("_used", lambda x: x["_n"] >= 2)
+    busy = F.filter("_used", lambda x: x["_n"])
     group = F.when(F.size("_used") == 1, F.element_at("_used", 1)["_c"]).when(F.size(busy) > 0, F.get(busy, F.lit(0))["_c"]).otherwise(F.get("_used", F.lit(1))["_c"])
     return used.select(*scope, "src", group.alias("node_group"))
 
 
 def node_classes(arc_rows: DataFrame, scope: list[str], road: str, road_class: str = "road_class") -> DataFrame:
-    """R5, A11, A12 at once: (scope, src, node_class, node_group) from one aggregate of the arcs."""
-    per = arc_rows.withColumn("_c", F.least(F.col(road_class), F.lit(4))).groupBy(*scope, "src", "_c").agg(F.count_distinct(road).alias("_n"))
+    """R5, A11, A12 at once: (scope, src, node_class, node_group) from one aggregate of the arcs.
+
+    Whether there are two roads shows in the least and the greatest one, so no road but these two is held or shuffled.
+    """
+    per = arc_rows.withColumn("_c", F.least(F.col(road_class), F.lit(4))).groupBy(*scope, "src", "_c").agg((F.min(road) != F.max(road)).alias("_n"))
     used = per.groupBy(*scope, "src").agg(F.sort_array(F.collect_list(F.struct("_c", "_n")), asc=False).alias("_used"))
-    busy = F.filter("_used", lambda x: x["_n"] >= 2)
+    busy = F.filter("_used", lambda x: x["_n"])
     top = F.element_at("_used", 1)["_c"]
     group = F.when(F.size("_used") == 1, top).when(F.size(busy) > 0, F.get(busy, F.lit(0))["_c"]).otherwise(F.get("_used", F.lit(1))["_c"])
     return used.select(*scope, "src", top.alias("node_class"), group.alias("node_group"))
