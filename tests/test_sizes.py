@@ -3,9 +3,12 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessera import catalog, fixtures
 from tessera.operators import kernels
 from tessera.operators import roads as R
 
+from .conftest import DATA
+
 
 def test_level_bounds_of_long_lines(spark):
     """Products of numbers of points over 2^31."""
@@ -23,3 +26,22 @@ def test_douglas_peucker_ties(duck):
     assert len(kernels.douglas_peucker(line, 0.2)) == 8
     values = np.random.default_rng(1).uniform(-2, 2, 20_000)
     assert kernels.squares(values).tolist() == [r[0] for r in duck.sql(f"select power(unnest({values.tolist()}), 2)").fetchall()]
+
+
+def _shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_roads_are_shuffled_once(spark):
+    """Vertices come by their road already; lengths need no other shuffle."""
+    assert _shuffles(fixtures.roads(spark, DATA)) == 1
+    assert _shuffles(catalog.QUERIES["road_lengths"](spark, DATA)) == 1
+
+
+def test_node_classes_hold_no_roads(spark):
+    """Two roads of a class are told by the least and the greatest, so roads are no grouping key."""
+    arcs = spark.createDataFrame([(1, 9, 3), (2, 9, 3), (2, 9, 3), (3, 9, 5), (4, 8, 2), (4, 8, 2), (5, 8, 1)], "road long, src int, road_class int")
+    got = R.node_classes(arcs, [], "road")
+    assert sorted(map(tuple, got.collect())) == [(8, 2, 1), (9, 4, 3)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert not [k for k in plan.split("keys=[")[1:] if "road#" in k.split("]")[0]]
