@@ -380,8 +380,7 @@ UNIT = "cast(trunc((case when {0} > 0 then {0} + 180.0::double / 16777216 else {
   s as (select road_id, pt_idx, coalesce({_unit_step()}, 0) d from n) select road_id, cast(floor(list_sum(list(d order by pt_idx))) as int) as metres from s group by 1""", "v_vertices")
 def road_lengths(spark: SparkSession, sf: str) -> DataFrame:
     """A14."""
-    units = F.transform("geometry", lambda p: F.struct(S.map_units(p["x"]).alias("x"), S.map_units(p["y"]).alias("y")))
-    return lines(spark, sf).select("road_id", S.road_length(units).alias("metres"))
+    return R.road_lengths(view(spark, sf, "v_vertices"), [], "road_id")
 
 
 # --- elevation -----------------------------------------------------------------------------------------------------------

@@ -210,9 +210,3 @@ def chaikin(geometry: Column, iterations: int, ring: bool = False) -> Column:
         made = F.concat(cut, F.slice(cut, 1, 1)) if ring else F.concat(F.slice(line, 1, 1), cut, F.slice(line, -1, 1))
         geometry = F.when(F.size(line) < 3, line).otherwise(made)
     return geometry
-
-
-def road_length(units: Column) -> Column:
-    """Whole metres along map-unit points (x: longitude, y: latitude)."""
-    steps = F.transform(F.sequence(F.lit(2), F.greatest(F.size(units), F.lit(2))), lambda k: F.when(k <= F.size(units), unit_distance(F.get(units, k - 2)["y"], F.get(units, k - 2)["x"], F.get(units, k - 1)["y"], F.get(units, k - 1)["x"])).otherwise(F.lit(0.0)))
-    return F.aggregate(steps, F.lit(0.0), lambda a, b: a + b).cast("int")

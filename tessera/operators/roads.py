@@ -113,6 +113,16 @@ def arcs(points: DataFrame, scope: list[str], road: str) -> DataFrame:
     return n.select(*kept, "pt_idx", "length_m", F.explode(both).alias("_a")).select(*kept, "pt_idx", "length_m", "_a.*")
 
 
+def road_lengths(points: DataFrame, scope: list[str], road: str) -> DataFrame:
+    """(scope, road, metres): whole metres along the map units of all vertices, summed in their order; no geometry is gathered."""
+    p = points.withColumn("lat_u", S.map_units(F.col("lat"))).withColumn("lon_u", S.map_units(F.col("lon")))
+    along = Window.partitionBy(*scope, road).orderBy("pt_idx")
+    before = [F.lag(c).over(along) for c in ("lat_u", "lon_u")]
+    p = p.withColumn("_step", F.coalesce(S.unit_distance(*before, F.col("lat_u"), F.col("lon_u")), F.lit(0.0)))
+    p = p.withColumn("_run", F.sum("_step").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    return p.groupBy(*scope, road).agg(F.floor(F.max("_run")).cast("int").alias("metres"))
+
+
 def node_class(arc_rows: DataFrame, scope: list[str], road_class: str = "road_class") -> DataFrame:
     """A11."""
     return arc_rows.groupBy(*scope, "src").agg(F.max(F.least(F.col(road_class), F.lit(4))).alias("node_class"))
