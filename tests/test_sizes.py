@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tessera import catalog, fixtures
 from tessera.operators import kernels
 from tessera.operators import roads as R
+from tessera.sources import mp, storage, vector
 
 from .conftest import DATA
 
@@ -45,3 +46,27 @@ def test_node_classes_hold_no_roads(spark):
     assert sorted(map(tuple, got.collect())) == [(8, 2, 1), (9, 4, 3)]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert not [k for k in plan.split("keys=[")[1:] if "road#" in k.split("]")[0]]
+
+
+def test_texts_come_in_pieces(spark, tmp_path, monkeypatch):
+    """Files over many pieces and frames, in both encodings, with letters and line ends across the borders."""
+    monkeypatch.setattr(storage, "PIECE_BYTES", 7)
+    monkeypatch.setattr(storage, "FRAME_ROWS", 3)
+    text = "".join(f"[POI]\r\nType=0x{k}\r\nLabel=é{k}\r\nData0=(45.5,6.{k})\r\n[END]\r\n" for k in range(1, 20))
+    for name, code in (("a", "utf-8"), ("b", "cp1252")):
+        (tmp_path / f"{name}.mp").write_bytes(text.encode(code))
+    got = sorted((r["tile"], r["seq"], r["label"], r["levels"][0][0]["x"]) for r in mp.read_mp(spark, str(tmp_path)).collect())
+    assert got == sorted((f"{t}.mp", k, f"é{k}", float(f"6.{k}")) for t in "ab" for k in range(1, 20))
+    lines = "\n".join(f'{{"type":"Feature","properties":{{"n":"é{k}"}},"geometry":{{"type":"Point","coordinates":[{k},1]}}}}' for k in range(10))
+    (tmp_path / "l.geojson").write_text(f"\n{lines}\n")
+    (tmp_path / "c.geojson").write_text('{"type":"FeatureCollection",\n"features":[' + ",\n".join(lines.split("\n")) + "]}")
+    for name in "lc":
+        rows = vector.read_geojson(spark, str(tmp_path / f"{name}.geojson")).collect()
+        assert sorted((r["fid"], r["source_layer"], r["attributes"]["n"], r["parts"][0][0]["x"]) for r in rows) == [(k, name, f"é{k}", float(k)) for k in range(10)]
+    frames, files = [], spark.createDataFrame([("a", b"")], "path string, content binary")
+    monkeypatch.setattr(mp.pd, "DataFrame", lambda rows, columns: frames.append(len(rows)))
+    run = []
+    monkeypatch.setattr(mp.storage, "pieced", lambda files, data: type("Files", (), {"mapInPandas": lambda self, f, kinds: run.append(f)})())
+    mp.parsed(files, "path", "content")
+    list(run[0](iter([{"path": ["a"], "utf8": [True], "content": [text.encode()]}])))
+    assert sum(frames) == 19 and max(frames) == 3
