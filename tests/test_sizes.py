@@ -1,5 +1,7 @@
 """What larger tables show: wide numbers, ties by the last bit, long texts, many rows a place."""
 
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -70,3 +72,14 @@ def test_texts_come_in_pieces(spark, tmp_path, monkeypatch):
     mp.parsed(files, "path", "content")
     list(run[0](iter([{"path": ["a"], "utf8": [True], "content": [text.encode()]}])))
     assert sum(frames) == 19 and max(frames) == 3
+
+
+def test_half_clips_take_no_step_a_point():
+    """A large ring is clipped as a whole; crossings come ahead of the points they lead to."""
+    ring = np.array([[0.0, 0.0], [4.0, 0.0], [4.0, 2.0], [0.0, 2.0]])
+    assert kernels.clip_half(ring, 0, 1.0, True).tolist() == [[0, 0], [1, 0], [1, 2], [0, 2]]
+    assert kernels.clip_half(ring, 1, 1.0, False).tolist() == [[0, 1], [4, 1], [4, 2], [0, 2]]
+    wide = np.random.default_rng(1).uniform(-1, 1, (1_000_000, 2))
+    began = time.perf_counter()
+    kernels.clip_half(wide, 0, 0.0, True)
+    assert time.perf_counter() - began < 1
